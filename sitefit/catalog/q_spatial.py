@@ -189,9 +189,9 @@ def nearby_constraints(t):
     return px.nearby_constraints(t.items, t.edges, 15.0)
 
 
-cte("sampled_items", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, group_id ORDER BY item_id) - 1 AS at,
+cte("sampled_items", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, group_id ORDER BY item_id) - 1 AS pos,
     count(*) OVER (PARTITION BY site_id, group_id) AS n FROM items WHERE group_id IS NOT NULL AND planting_type <> 'lawn') q
-  WHERE n <= 40 OR at IN (SELECT CAST(floor(k * (n / 40e0)) AS BIGINT) FROM range(40) r(k))""")
+  WHERE n <= 40 OR pos IN (SELECT CAST(floor(k * (n / 40e0)) AS BIGINT) FROM range(40) r(k))""")
 
 
 @query("worst_reading", sql(f"""

@@ -10,12 +10,14 @@ from sitefit.sources.bindings import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SECTION_OF: dict[str, str] = {}
 
 
 def query(name: str, check: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         QUERIES[name].__doc__ = fn.__doc__
+        SECTION_OF[name] = fn.__module__.rsplit(".", 1)[-1]
         if check is not None:
             ORACLES[name] = check
         return fn

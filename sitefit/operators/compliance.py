@@ -113,3 +113,129 @@ def summaries(verdict: DataFrame, checks: DataFrame) -> DataFrame:
     free = F.concat(what, F.lit(": нормируемых препятствий рядом нет."))
     text = F.when(~c("compliant"), bad).when(c("binding").isNull(), free).otherwise(good)
     return rows.select(SITE, "item_id", "compliant", text.alias("summary"))
+
+
+def site_summary(items: DataFrame, verdict: DataFrame, sites: DataFrame) -> DataFrame:
+    """Totals per (region, site) with rollup rows, and the share of each planting type in violation."""
+    c = F.col
+    rows = verdict.join(sites.select(SITE, "region"), SITE)
+    return rows.rollup("region", SITE).agg(
+        F.count(F.lit(1)).alias("total_items"), F.sum(c("compliant").cast("long")).alias("compliant_items"),
+        F.sum((~c("compliant")).cast("long")).alias("violations"),
+        F.sum(((~c("compliant")) & (c("planting_type") == "tree")).cast("long")).alias("tree_violations"))
+
+
+def unverified(verdict: DataFrame, checks: DataFrame) -> DataFrame:
+    """How many binding constraints rest on a citation nobody compared with the act."""
+    c = F.col
+    rows = verdict.select(SITE, "item_id", c("binding").alias("object_type")).join(checks, [SITE, "item_id", "object_type"])
+    return rows.filter(~c("verified")).groupBy(SITE, "citation").agg(F.count(F.lit(1)).alias("bindings"))
+
+
+def report_sources(checks: DataFrame) -> DataFrame:
+    c = F.col
+    src = dims.sources(checks.sparkSession).select("source_id", "title")
+    used = checks.groupBy("source_id", "act", "clause", "verified").agg(F.count(F.lit(1)).alias("checks"))
+    title = F.coalesce("title", F.lit("Тип объекта не сопоставлен ни с одним пунктом"))
+    return used.join(F.broadcast(src), "source_id", "left").select("source_id", "act", "clause", title.alias("title"), "verified", "checks")
+
+
+def report_rows(checks: DataFrame) -> DataFrame:
+    c = F.col
+    return (checks.filter(c("table_row") != "").groupBy(F.concat_ws("|", "source_id", "object_type", "planting_type").alias("row_key"))
+            .agg(F.min("table_row").alias("row_text")))
+
+
+def report_items(checks: DataFrame) -> DataFrame:
+    """One row per item with its checks as a list."""
+    packed = F.struct("object_type", "required_m", "actual_m", "satisfied", "source_id")
+    return checks.groupBy(SITE, "item_id").agg(F.array_sort(F.collect_list(packed)).alias("checks"))
+
+
+def trace(items: DataFrame, checks: DataFrame, verdict: DataFrame) -> DataFrame:
+    """One row per (placement, constraint), ready for an expert to sort and filter."""
+    c = F.col
+    rows = checks.drop("planting_type").join(verdict, [SITE, "item_id"]).join(items.select(SITE, "item_id", "species", "x", "y"), [SITE, "item_id"])
+    return rows.select(
+        SITE, "item_id", "planting_type", "species", "x", "y", c("compliant").cast("long").alias("compliant"), "object_type",
+        fixed2(c("required_m")).alias("required_m"), "actual_m", c("satisfied").cast("long").alias("satisfied"),
+        F.coalesce((c("object_type") == c("binding")).cast("long"), F.lit(0)).alias("is_binding"), "act", "clause",
+        c("verified").cast("long").alias("verified"), "species_rule", "table_row")
+
+
+def point_obstacle_radius(planting_type: str = "planting_type"):
+    """Existing trunks must stay clear of the new canopy; lawns ignore them."""
+    return F.coalesce(*[F.when(F.col(planting_type) == r[0], F.lit(r[2] if r[0] != "lawn" else 0.0)) for r in fx.TYPE_NORMS])
+
+
+def margin_of(planting_type: str = "planting_type"):
+    return F.coalesce(*[F.when(F.col(planting_type) == r[0], F.lit(r[4])) for r in fx.TYPE_NORMS])
+
+
+def rejections(probes: DataFrame, edges: DataFrame, outline: DataFrame, point_id: str = "probe_id") -> DataFrame:
+    """Every reason a planting cannot stand at each probe point (no row: the place is allowed).
+
+    Five branches: distance to an object, existing trunk under the canopy, existing greenery area, outside the
+    site, site margin.
+    """
+    c = F.col
+    from sitefit.operators.buckets import inside_site, near_pairs
+
+    keys = probes.select(SITE, point_id, "planting_type", "species")
+    base = distances(probes, edges, point_id).join(keys, [SITE, point_id])
+    setback = with_resolution(base).filter(c("actual_m") + fx.CHECK_TOLERANCE_M < c("required_m")).select(
+        SITE, point_id, F.lit("setback").alias("kind"), "object_type", "required_m", "actual_m")
+    widest = max(r[2] for r in fx.TYPE_NORMS)
+    trunks = edges.filter((c("geom_kind") == "point") & (c("object_type") == "existing_greenery"))
+    radius = point_obstacle_radius()
+    trunk = (near_pairs(probes.select(SITE, point_id, "x", "y", "planting_type"), trunks.drop("object_type"), widest, widest)
+             .groupBy(SITE, point_id, "planting_type").agg(F.min("dist").alias("actual_m")).withColumn("required_m", radius)
+             .filter(c("actual_m") < c("required_m") - fx.CHECK_TOLERANCE_M)
+             .select(SITE, point_id, F.lit("existing_tree").alias("kind"), F.lit("existing_greenery").alias("object_type"), "required_m", "actual_m"))
+    green = edges.filter((c("geom_kind") == "polygon") & (c("object_type") == "existing_greenery"))
+    none = F.lit(None).cast("double")
+    area = inside(probes, green, point_id).select(SITE, point_id).distinct().select(
+        SITE, point_id, F.lit("existing_object").alias("kind"), F.lit("existing_greenery").alias("object_type"), none.alias("required_m"), none.alias("actual_m"))
+    within = inside_site(probes, outline, point_id)
+    no_type = F.lit(None).cast("string").alias("object_type")
+    outside = keys.join(within, [SITE, point_id], "left_anti").select(
+        SITE, point_id, F.lit("outside_territory").alias("kind"), no_type, none.alias("required_m"), none.alias("actual_m"))
+    deepest = max(r[4] for r in fx.TYPE_NORMS)
+    margin = (near_pairs(probes.select(SITE, point_id, "x", "y", "planting_type"), outline.select(SITE, "x1", "y1", "x2", "y2"), deepest, deepest)
+              .groupBy(SITE, point_id, "planting_type").agg(F.min("dist").alias("actual_m")).withColumn("required_m", margin_of())
+              .filter(c("actual_m") < c("required_m") - fx.CHECK_TOLERANCE_M).join(within, [SITE, point_id])
+              .select(SITE, point_id, F.lit("territory_margin").alias("kind"), no_type, "required_m", "actual_m"))
+    return setback.unionByName(trunk).unionByName(area).unionByName(outside).unionByName(margin)
+
+
+def violation_mask(items: DataFrame, checks: DataFrame) -> DataFrame:
+    """Items that stand inside the setback zone (neighbour intervals are not part of it)."""
+    c = F.col
+    bad = checks.filter(~c("satisfied") & (c("object_type") != "neighbour_tree")).select(SITE, "item_id").distinct().withColumn("hit", F.lit(True))
+    return items.select(SITE, "item_id", "planting_type").join(bad, [SITE, "item_id"], "left").withColumn("violates", F.coalesce("hit", F.lit(False))).drop("hit")
+
+
+def violation_marks(items: DataFrame, mask: DataFrame) -> DataFrame:
+    """Ring centre and radius for every violating item: its canopy radius, or half a lawn's side."""
+    c = F.col
+    radius = F.coalesce(*[F.when(c("planting_type") == r[0], F.lit(r[2])) for r in fx.TYPE_NORMS])
+    return (mask.filter("violates").select(SITE, "item_id").join(items, [SITE, "item_id"])
+            .select(SITE, "item_id", "x", "y", F.when(c("planting_type") == "lawn", c("side_c") / F.lit(200.0)).otherwise(radius).alias("radius_m")))
+
+
+def revalidate(items: DataFrame, touched: DataFrame, edges: DataFrame, reach: float = 8.0) -> DataFrame:
+    """Re-check after edits: setbacks of the touched items, intervals of them and of trees near a touched tree."""
+    c = F.col
+    from sitefit.operators.buckets import as_edges, near_pairs
+
+    dirty = items.join(touched.select(SITE, "item_id").distinct(), [SITE, "item_id"], "left_semi")
+    trees = items.filter(c("planting_type") == "tree")
+    seeds = as_edges(dirty.filter(c("planting_type") == "tree"))
+    around = near_pairs(trees.select(SITE, "item_id", "x", "y"), seeds, reach, reach).select(SITE, "item_id").distinct()
+    scope = dirty.select(SITE, "item_id").unionByName(around).distinct()
+    setback = setback_checks(dirty, edges)
+    spacing = neighbour_checks(trees).join(scope, [SITE, "item_id"], "left_semi")
+    bad = setback.unionByName(spacing).groupBy(SITE, "item_id").agg(
+        F.sum(((~c("satisfied")) & (c("object_type") != "neighbour_tree")).cast("long")).alias("setback_violations"),
+        F.sum(((~c("satisfied")) & (c("object_type") == "neighbour_tree")).cast("long")).alias("spacing_violations"))
+    return scope.join(bad, [SITE, "item_id"], "left").fillna(0, ["setback_violations", "spacing_violations"])

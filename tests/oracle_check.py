@@ -73,7 +73,9 @@ def main() -> int:
         QUERIES, ORACLES = load()
     folder = f"/root/testdata/sf{args.sf}"
     con, bad = connect(folder), 0
-    for name in args.names or list(QUERIES):
+    from sitefit.catalog.registry import SECTION_OF
+    chosen = args.names or [n for n in QUERIES if not args.section or SECTION_OF[n] == args.section]
+    for name in chosen:
         a = time.time()
         try:
             df = QUERIES[name](spark, folder)
