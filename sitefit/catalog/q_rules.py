@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from sitefit import fixed as fx
 from sitefit.catalog.registry import query
-from sitefit.catalog.sqlkit import cte, fmt2, lit, rnd, short, sql, values
+from sitefit.catalog.sqlkit import cte, fmt2, lit, short, sql, values
 from sitefit.functions import dims
-from sitefit.functions.geom import rounded
-from sitefit.functions.rules import citation, crown_multiplier, group_pitch, with_citation, with_resolution, with_setback
+from sitefit.functions.rules import with_resolution, with_setback
 from sitefit.operators import rulebook as rb
 
 cte("d_setbacks", values(dims.setback_rows(), "rule_key,planting_type,table_m,table_source,table_text"))
@@ -91,8 +90,8 @@ def resolve_setback(t):
     """Competing corrections per species: the largest wins and is the cited source; odd sites allow trees in paving."""
     rows = rb.types_by_species(t.features, t.items)
     out = with_resolution(rows, paving=F.col("site_id") % 2 == 1)
-    return out.select("site_id", "object_type", "planting_type", "species", "table_m", "crown_multiplier", "required_m", "source_id",
-                      "table_row", "species_rule")
+    return out.select("site_id", "object_type", "planting_type", "species", "table_m", "crown_multiplier", "required_m",
+                      F.col("raw_source").alias("source_id"), F.when(F.col("raw_source") == "", "").otherwise(F.col("table_row")).alias("table_row"), "species_rule")
 
 
 @query("source_for", sql(f"""

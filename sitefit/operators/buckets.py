@@ -9,6 +9,7 @@ de-duplicated; adaptive skew splitting applies to the join because its keys are
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitefit.functions.geom import cell, point_distance, ray_crosses, segment_distance, segments_cross
@@ -61,13 +62,13 @@ def box_distance(px, py, half, x1, y1, x2, y2) -> Column:
 def near_pairs(points: DataFrame, edges: DataFrame, reach: Column | float, size: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """(point, edge) rows closer than or exactly at ``reach``, with ``dist``. ``reach`` may be a column of the edges.
 
-    Points with a positive ``half`` column are squares and are enumerated over the cells they cover.
+    Points with a ``size`` column are squares of that half side and are enumerated over the cells they cover.
     """
     right = to_cells(edges.withColumn("_reach", F.lit(float(reach)) if not isinstance(reach, Column) else reach), size, F.col("_reach"))
     c = F.col
     on = [SITE, "cx", "cy", *keys]
-    if "half" in points.columns:
-        h = c("half")
+    if "size" in points.columns:
+        h = c("size")
         gx = F.sequence(cell(c("x") - h, size), cell(c("x") + h, size))
         gy = F.sequence(cell(c("y") - h, size), cell(c("y") + h, size))
         left = points.withColumn("cx", F.explode(gx)).withColumn("cy", F.explode(gy))
@@ -88,11 +89,15 @@ def nearest(points: DataFrame, edges: DataFrame, point_id: str, by: str, near: f
     ties) and an owner equal to the point's own id is skipped.
     """
     c = F.col
-    keep = [SITE, point_id, "x", "y"] + (["half"] if "half" in points.columns else [])
+    if "half" in points.columns:
+        dots, squares = points.filter(c("half") == 0).drop("half"), points.filter(c("half") > 0).withColumn("size", c("half"))
+        return (nearest(dots, edges, point_id, by, near, far, target)
+                .unionByName(nearest(squares.drop("half"), edges, point_id, by, near, far, target)))
+    keep = [SITE, point_id, "x", "y"] + (["size"] if "size" in points.columns else [])
     points = points.select(*keep)
     cols = [SITE, by, "x1", "y1", "x2", "y2"] + ([target] if target else [])
     edges = edges.select(*cols)
-    half = c("half") if "half" in points.columns else F.lit(0.0)
+    half = c("size") if "size" in points.columns else F.lit(0.0)
     if target:
         best = F.min(F.struct("dist", target)).alias("best")
         other = c(target) != c(point_id)
@@ -113,9 +118,9 @@ def nearest(points: DataFrame, edges: DataFrame, point_id: str, by: str, near: f
     pairs = asked.join(occupied, [SITE, by]).withColumn("low", low - c("h") * 2.0).withColumn("high", high)
     if target:
         pairs = pairs.filter((c("n") > 1) | (dx + dy > 0))
-    bound = pairs.groupBy(SITE, by, "px", "py").agg(F.min("high").alias("bound"))
-    useful = pairs.join(bound, [SITE, by, "px", "py"]).filter(c("low") <= c("bound")).select(SITE, by, "px", "py", "cx", "cy")
-    dist = (box_distance(c("x"), c("y"), half, c("x1"), c("y1"), c("x2"), c("y2")) if "half" in points.columns
+    bound = F.min("high").over(W.partitionBy(SITE, by, "px", "py"))
+    useful = pairs.withColumn("bound", bound).filter(c("low") <= c("bound")).select(SITE, by, "px", "py", "cx", "cy")
+    dist = (box_distance(c("x"), c("y"), half, c("x1"), c("y1"), c("x2"), c("y2")) if "size" in points.columns
             else segment_distance(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2")))
     distant = (rest.join(useful, [SITE, by, "px", "py"]).join(spread, [SITE, by, "cx", "cy"])
                .filter(other).withColumn("dist", dist).groupBy(SITE, point_id, by).agg(best))
@@ -155,8 +160,6 @@ def ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     ``bucket`` is an integer that never decreases along ``order``. Rows are numbered inside (keys, bucket) and
     shifted by the running count of the earlier buckets, which comes from a small pre-aggregated table.
     """
-    from pyspark.sql import Window as W
-
     df = df.withColumn("_b", bucket)
     sizes = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitefit import fixed as fx
 from sitefit.functions import dims
 from sitefit.functions.geom import fixed2
-from sitefit.functions.rules import with_citation, with_resolution
+from sitefit.functions.rules import citation, with_resolution
 from sitefit.operators.buckets import SITE, as_edges, inside, nearest
 from sitefit.sources.bindings import UTILITIES
 
@@ -40,7 +40,7 @@ def with_half(items: DataFrame) -> DataFrame:
 def setback_checks(items: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per (item, object type present at the site): required against measured, with the clause."""
     rows = distances(with_half(items), edges).join(items.select(SITE, "item_id", "planting_type", "species"), [SITE, "item_id"])
-    rows = with_citation(with_resolution(rows))
+    rows = with_resolution(rows)
     return rows.withColumn("satisfied", F.col("actual_m") + fx.CHECK_TOLERANCE_M >= F.col("required_m")).select(*CHECK_COLUMNS)
 
 
@@ -55,6 +55,7 @@ def neighbour_checks(items: DataFrame) -> DataFrame:
     found = nearest(trees, as_edges(trees.withColumn("kind", F.lit("tree")), F.col("item_id").alias("other_id"), "kind"),
                     "item_id", "kind", near=12.0, target="other_id")
     spans = dims.species_interval(spark)
+    source = next(r for r in fx.SOURCES if r[0] == "mgsn_1_02_02_4_2_9_2")
     own = spans.select(F.col("name").alias("species"), F.col("crown").alias("own_crown"), F.col("interval_m").alias("own_m"))
     other = spans.select(F.col("name").alias("other_species"), F.col("crown").alias("other_crown"), F.col("interval_m").alias("other_m"))
     partner = trees.select(SITE, F.col("item_id").alias("other_id"), F.col("species").alias("other_species"))
@@ -65,8 +66,9 @@ def neighbour_checks(items: DataFrame) -> DataFrame:
                     F.col("other_species"), F.lit(") — берётся больший интервал"))
     rows = rows.select(SITE, "item_id", F.lit("tree").alias("planting_type"), F.lit("neighbour_tree").alias("object_type"),
                        "required_m", F.col("dist").alias("actual_m"), rule.alias("species_rule"),
-                       F.lit("mgsn_1_02_02_4_2_9_2").alias("source_id"), F.lit(fx.NEIGHBOUR_ROW).alias("table_row"))
-    rows = with_citation(rows)
+                       F.lit(source[0]).alias("source_id"), F.lit(source[1]).alias("act"), F.lit(source[2]).alias("clause"),
+                       F.lit(source[4]).alias("verified"), F.lit(fx.NEIGHBOUR_ROW).alias("table_row"))
+    rows = rows.withColumn("citation", citation(F.col("act"), F.col("clause"), F.col("verified")))
     return rows.withColumn("satisfied", F.col("actual_m") + fx.CHECK_TOLERANCE_M >= F.col("required_m")).select(*CHECK_COLUMNS)
 
 

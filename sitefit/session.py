@@ -24,14 +24,20 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job with a reliable checkpoint.
+_scratch: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster (``spark.checkpoint.dir``); a scratch folder only where it is unset."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return _scratch[app]
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a scratch folder is used
-    only where that setting is absent (tests on one machine).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative job with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -8,9 +8,12 @@ the content of one site does not. Each binding is a SELECT text in a dialect (``
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
 
 from sitefit import fixed as fx
+from sitefit.session import scratch_folder
 
 ORDERS_PER_SITE, PARTS_PER_SITE, CUSTOMERS_PER_SITE, SUPPLIERS_PER_SITE = 600, 80, 60, 4
 LINE_TYPES = (
@@ -276,8 +279,17 @@ BINDINGS = {
 }
 
 
+# Bindings worth deriving once per application: several queries read them, some of them many times in one plan.
+STORED = ("sites", "outline", "area_features", "features", "edges", "items", "items_b", "reference_trees", "candidates", "edits", "plans")
+_written: dict[tuple, str] = {}
+
+
 class Tables:
-    """Lazily bound site tables of one input folder."""
+    """Lazily bound site tables of one input folder.
+
+    A stored binding is written once as a table in the shared scratch folder and read back from there, so
+    every later plan starts from a plain columnar scan.
+    """
 
     def __init__(self, spark, folder: str) -> None:
         self.spark, self.folder, self._frames = spark, folder, {}
@@ -288,19 +300,28 @@ class Tables:
     def __getattr__(self, name: str):
         if name.startswith("_"):
             raise AttributeError(name)
+        if name not in BINDINGS:
+            return self.raw(name)
         if name not in self._frames:
-            if name not in BINDINGS:
-                return self.raw(name)
-            make, inputs, parents = BINDINGS[name]
-            views = {t: self.raw(t) for t in inputs} | {p: getattr(self, p) for p in parents}
-            body = make(SPARK)
-            self._frames[name] = self._select(body, views)
+            self._frames[name] = self._stored(name) if name in STORED else self._bound(name)
         return self._frames[name]
 
-    def _select(self, body: str, views: dict):
-        import re
-        names = sorted(views, key=len, reverse=True)
-        text = body.replace("{", "{{").replace("}", "}}")
-        for n in names:
+    def _bound(self, name: str):
+        make, inputs, parents = BINDINGS[name]
+        views = {t: self.raw(t) for t in inputs} | {p: getattr(self, p) for p in parents}
+        text = make(SPARK).replace("{", "{{").replace("}", "}}")
+        for n in sorted(views, key=len, reverse=True):
             text = re.sub(rf"\b(from|join) {n}\b", rf"\1 {{{n}}}", text)
         return self.spark.sql(text, **views)
+
+    def _stored(self, name: str):
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _written:
+            bound = self._bound(name)
+            cores = self.spark.sparkContext.defaultParallelism
+            if bound.rdd.getNumPartitions() < cores:
+                bound = bound.repartition(cores)
+            path = f"{scratch_folder(self.spark)}/{hashlib.md5(repr(key).encode()).hexdigest()}/{name}"
+            bound.write.mode("overwrite").parquet(path)
+            _written[key] = path
+        return self.spark.read.parquet(_written[key])
