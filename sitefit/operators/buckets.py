@@ -17,27 +17,38 @@ from sitefit.functions.geom import cell, point_distance, ray_crosses, segment_di
 SITE = "site_id"
 
 
-def reach_cells(size: float, reach: Column | float, x1="x1", y1="y1", x2="x2", y2="y2") -> Column:
-    """Distinct grid cells within ``reach`` of an edge; a long edge is cut only to enumerate its cells."""
+def to_cells(edges: DataFrame, size: float, reach: Column | float) -> DataFrame:
+    """One row per (edge, grid cell within ``reach`` of it).
+
+    A long edge is cut into pieces only to enumerate its cells; a cell shared with the piece before is emitted
+    once, and the row keeps the original end points. ``reach`` must not exceed one and a half cells.
+    """
     c = F.col
     reach = F.lit(float(reach)) if not isinstance(reach, Column) else reach
-    dx, dy = c(x2) - c(x1), c(y2) - c(y1)
+    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
     pieces = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / F.lit(4.0 * size))).cast("int")
+    eps = F.lit(1e-6)
 
-    def cells_of(i: Column) -> Column:
-        ax, bx = c(x1) + dx * (i / pieces), c(x1) + dx * ((i + 1) / pieces)
-        ay, by = c(y1) + dy * (i / pieces), c(y1) + dy * ((i + 1) / pieces)
-        eps = F.lit(1e-6)
-        gx = F.sequence(cell(F.least(ax, bx) - reach - eps, size), cell(F.greatest(ax, bx) + reach + eps, size))
-        gy = F.sequence(cell(F.least(ay, by) - reach - eps, size), cell(F.greatest(ay, by) + reach + eps, size))
-        return F.flatten(F.transform(gx, lambda x: F.transform(gy, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+    def span(a: str, d: Column, i: Column) -> tuple[Column, Column]:
+        p, q = c(a) + d * (i / c("_n")), c(a) + d * ((i + 1) / c("_n"))
+        return cell(F.least(p, q) - reach - eps, size), cell(F.greatest(p, q) + reach + eps, size)
 
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), cells_of)))
+    cut = edges.withColumn("_n", pieces).withColumn("_i", F.explode(F.sequence(F.lit(0), c("_n") - 1)))
+    (lx, hx), (ly, hy) = span("x1", dx, c("_i")), span("y1", dy, c("_i"))
+    (px, qx), (py, qy) = span("x1", dx, c("_i") - 1), span("y1", dy, c("_i") - 1)
+    seen = (c("_i") > 0) & c("cx").between(px, qx) & c("cy").between(py, qy)
+    return (cut.withColumn("cx", F.explode(F.sequence(lx, hx))).withColumn("cy", F.explode(F.sequence(ly, hy)))
+            .filter(~seen).drop("_n", "_i"))
 
 
-def to_cells(edges: DataFrame, size: float, reach: Column | float) -> DataFrame:
-    return (edges.withColumn("_cell", F.explode(reach_cells(size, reach)))
-            .withColumn("cx", F.col("_cell.cx")).withColumn("cy", F.col("_cell.cy")).drop("_cell"))
+def measured(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row, after the join below it.
+
+    A plain ``withColumn`` followed by a filter is pushed into the join condition, where the long distance
+    expression is expanded without sharing and becomes a method too large for the JIT. A one-element generator
+    is not crossed by that rewrite.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def as_edges(points: DataFrame, *keep: str) -> DataFrame:
@@ -76,7 +87,7 @@ def near_pairs(points: DataFrame, edges: DataFrame, reach: Column | float, size:
     else:
         left = points.withColumn("cx", cell(c("x"), size)).withColumn("cy", cell(c("y"), size))
         dist = segment_distance(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2"))
-    return left.join(right, on).withColumn("dist", dist).filter(c("dist") <= c("_reach")).drop("_reach", "cx", "cy")
+    return measured(left.join(right, on), "dist", dist).filter(c("dist") <= c("_reach")).drop("_reach", "cx", "cy")
 
 
 def nearest(points: DataFrame, edges: DataFrame, point_id: str, by: str, near: float = 24.0, far: float = 64.0,
@@ -122,8 +133,7 @@ def nearest(points: DataFrame, edges: DataFrame, point_id: str, by: str, near: f
     useful = pairs.withColumn("bound", bound).filter(c("low") <= c("bound")).select(SITE, by, "px", "py", "cx", "cy")
     dist = (box_distance(c("x"), c("y"), half, c("x1"), c("y1"), c("x2"), c("y2")) if "size" in points.columns
             else segment_distance(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2")))
-    distant = (rest.join(useful, [SITE, by, "px", "py"]).join(spread, [SITE, by, "cx", "cy"])
-               .filter(other).withColumn("dist", dist).groupBy(SITE, point_id, by).agg(best))
+    distant = (measured(rest.join(useful, [SITE, by, "px", "py"]).join(spread, [SITE, by, "cx", "cy"]).filter(other), "dist", dist).groupBy(SITE, point_id, by).agg(best))
     out = close.unionByName(distant)
     if target:
         return out.select(SITE, point_id, by, c("best.dist").alias("dist"), c(f"best.{target}").alias(target))
@@ -144,7 +154,7 @@ def inside(points: DataFrame, edges: DataFrame, point_id: str, size: float = 16.
              .withColumn("cx", F.explode(gx)).withColumn("cy", F.explode(gy)).drop("xmin"))
     left = points.select(SITE, point_id, "x", "y", cell(c("x"), size).alias("cx"), cell(c("y"), size).alias("cy"))
     hit = ray_crosses(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2"))
-    return (left.join(right, [SITE, "cx", "cy"]).filter(hit).groupBy(SITE, point_id, "gid").agg(F.count(F.lit(1)).alias("n"))
+    return (measured(left.join(right, [SITE, "cx", "cy"]), "hit", hit).filter("hit").groupBy(SITE, point_id, "gid").agg(F.count(F.lit(1)).alias("n"))
             .filter(c("n") % 2 == 1).select(SITE, point_id, "gid"))
 
 

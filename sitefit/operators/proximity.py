@@ -10,7 +10,7 @@ from sitefit import fixed as fx
 from sitefit.functions import dims
 from sitefit.functions.geom import cell
 from sitefit.functions.rules import with_resolution, with_setback
-from sitefit.operators.buckets import SITE, as_edges, inside, inside_site, near_pairs, nearest
+from sitefit.operators.buckets import SITE, as_edges, inside, inside_site, measured, near_pairs, nearest
 from sitefit.operators.compliance import constraint_edges, distances, with_half
 
 MAX_FOOTPRINT_CELLS = 64
@@ -55,7 +55,7 @@ def covered_groups(points: DataFrame, edges: DataFrame, point_id: str) -> DataFr
 
 def capped_distances(points: DataFrame, edges: DataFrame, point_id: str, cap: float = fx.MAX_DISTANCE_M) -> DataFrame:
     """(point, group) distances below the cap; 0 inside a polygon. Absent rows mean the cap."""
-    pairs = near_pairs(points.select(SITE, point_id, "x", "y"), edges, cap, cap / 2)
+    pairs = near_pairs(points.select(SITE, point_id, "x", "y"), edges, cap, cap / 1.5)
     near = pairs.groupBy(SITE, point_id, "grp").agg(F.min("dist").alias("dist"))
     covered = covered_groups(points, edges, point_id).select(SITE, point_id, "grp", F.lit(0.0).alias("dist")).distinct()
     return near.unionByName(covered).groupBy(SITE, point_id, "grp").agg(F.min("dist").alias("dist"))
@@ -148,7 +148,7 @@ def distance_to_site(edges: DataFrame, outline: DataFrame, reach: float) -> Data
     from sitefit.functions.geom import segment_distance, segments_cross
     from sitefit.operators.buckets import to_cells
 
-    size = 32.0
+    size = 48.0
     left = to_cells(edges.select(SITE, "gid", "seq", "x1", "y1", "x2", "y2"), size, reach)
     right = to_cells(outline.select(SITE, c("x1").alias("ox1"), c("y1").alias("oy1"), c("x2").alias("ox2"), c("y2").alias("oy2"))
                      .withColumnsRenamed({"ox1": "x1", "oy1": "y1", "ox2": "x2", "oy2": "y2"}), size, 0.0)
@@ -156,7 +156,7 @@ def distance_to_site(edges: DataFrame, outline: DataFrame, reach: float) -> Data
     across = segments_cross(c("x1"), c("y1"), c("x2"), c("y2"), c("ox1"), c("oy1"), c("ox2"), c("oy2"))
     ends = [segment_distance(c(px), c(py), c("ox1"), c("oy1"), c("ox2"), c("oy2")) for px, py in (("x1", "y1"), ("x2", "y2"))]
     ends += [segment_distance(c(px), c(py), c("x1"), c("y1"), c("x2"), c("y2")) for px, py in (("ox1", "oy1"), ("ox2", "oy2"))]
-    near = (left.join(right, [SITE, "cx", "cy"]).withColumn("dist", F.when(across, 0.0).otherwise(F.least(*ends)))
+    near = (measured(left.join(right, [SITE, "cx", "cy"]), "dist", F.when(across, 0.0).otherwise(F.least(*ends)))
             .groupBy(SITE, "gid").agg(F.min("dist").alias("dist")))
     starts = edges.withColumn("pid", F.concat_ws(":", c("gid").cast("string"), c("seq").cast("string"))).select(SITE, "gid", "pid", c("x1").alias("x"), c("y1").alias("y"))
     held = inside_site(starts, outline, "pid").join(starts.select(SITE, "pid", "gid"), [SITE, "pid"]).select(SITE, "gid", F.lit(0.0).alias("dist")).distinct()
