@@ -97,9 +97,9 @@ def invasive_in_assortment(t):
 def segment_distance(t):
     """Clamped projection distance from each item to the line drawn with the same number."""
     c = F.col
-    e = t.edges.withColumn("item_id", c("gid") / 20).filter("gid % 20 = 0").withColumn("item_id", c("item_id").cast("long"))
     d = geom.segment_distance(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2"))
-    return t.items.select("site_id", "item_id", "x", "y").join(e, ["site_id", "item_id"]).select("site_id", "item_id", "gid", d.alias("dist"))
+    numbered = t.items.select("site_id", "item_id", "x", "y", (c("item_id") * 20).alias("gid"))
+    return numbered.join(t.edges, ["site_id", "gid"]).select("site_id", "item_id", "gid", d.alias("dist"))
 
 
 cte("feature_area", """SELECT site_id, gid, object_type, abs(CAST(sum(xc1 * yc2 - xc2 * yc1) AS BIGINT)) / 20000e0 AS area_m2,
