@@ -33,3 +33,155 @@ def site_grid(outline: DataFrame, samples: int = MAX_SAMPLES, least: float = MIN
              .withColumn("cell_id", c("ix") * 1000000 + c("iy")))
     kept = inside_site(cells, outline, "cell_id")
     return cells.select(SITE, "cell_id", "ix", "iy", "x", "y", "step", "area_m2").join(kept, [SITE, "cell_id"], "left_semi")
+
+
+def required_reach(edges: DataFrame, planting_type: str) -> DataFrame:
+    """Constraint edges with the resolved distance of a planting type (species unknown)."""
+    from sitefit.functions.rules import with_resolution
+    from sitefit.operators.compliance import constraint_edges
+
+    rows = constraint_edges(edges).withColumn("planting_type", F.lit(planting_type)).withColumn("species", F.lit(""))
+    return with_resolution(rows).select(SITE, "gid", "object_type", "geom_kind", "x1", "y1", "x2", "y2", "required_m")
+
+
+MARGIN_KEY, HARD_KEY = "territory_margin", "hard_obstacles"
+
+
+def blocker_cells(cells: DataFrame, edges: DataFrame, outline: DataFrame, planting_type: str, point_id: str = "cell_id") -> DataFrame:
+    """Distinct (cell, blocker): every object type within its distance, the site margin, and hard obstacles."""
+    from sitefit import fixed as fx
+    from sitefit.operators.buckets import inside, near_pairs
+
+    c = F.col
+    at = cells.select(SITE, point_id, "x", "y")
+    rules = required_reach(edges, planting_type)
+    by_type = near_pairs(at, rules.select(SITE, "object_type", "x1", "y1", "x2", "y2", "required_m"), c("required_m"), 8.0).select(
+        SITE, point_id, c("object_type").alias("blocker"))
+    areas = edges.filter(c("geom_kind") == "polygon")
+    kinds = areas.select(SITE, "gid", "object_type").distinct()
+    held = inside(at, areas.filter(c("object_type").isin(sorted({r[0] for r in fx.SETBACKS} | set(fx.HARD_OBSTACLES)))), point_id).join(kinds, [SITE, "gid"])
+    known = held.filter(c("object_type").isin([r[0] for r in fx.SETBACKS])).select(SITE, point_id, c("object_type").alias("blocker"))
+    solid = held.filter(c("object_type").isin(list(fx.HARD_OBSTACLES))).select(SITE, point_id, F.lit(HARD_KEY).alias("blocker"))
+    norms = next(r for r in fx.TYPE_NORMS if r[0] == planting_type)
+    margin = near_pairs(at, outline.select(SITE, "x1", "y1", "x2", "y2"), norms[4], 8.0).select(SITE, point_id, F.lit(MARGIN_KEY).alias("blocker"))
+    out = by_type.unionByName(known).unionByName(solid).unionByName(margin)
+    if planting_type != "lawn":
+        trunks = edges.filter((c("geom_kind") == "point") & (c("object_type") == "existing_greenery")).select(SITE, "x1", "y1", "x2", "y2")
+        out = out.unionByName(near_pairs(at, trunks, norms[2], 8.0).select(SITE, point_id, F.lit(HARD_KEY).alias("blocker")))
+    return out.distinct()
+
+
+def area_budget(cells: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Usable area and the share closed by each blocker."""
+    c = F.col
+    total = cells.groupBy(SITE, "area_m2").agg(F.count(F.lit(1)).alias("cells"))
+    closed = blocked.groupBy(SITE, "cell_id").agg(F.count(F.lit(1)).alias("cover"), F.min("blocker").alias("only"))
+    free = total.join(closed.groupBy(SITE).agg(F.count(F.lit(1)).alias("closed")), SITE, "left").fillna(0, ["closed"])
+    free = free.withColumn("usable", c("cells") - c("closed"))
+    shares = blocked.groupBy(SITE, "blocker").agg(F.count(F.lit(1)).alias("n"))
+    alone = closed.filter("cover = 1").groupBy(SITE, c("only").alias("blocker")).agg(F.count(F.lit(1)).alias("alone"))
+    rows = free.join(shares, SITE, "left").join(alone, [SITE, "blocker"], "left").fillna(0, ["alone"])
+    return rows.select(SITE, "area_m2", (c("area_m2") * c("usable") / c("cells")).alias("usable_m2"), (c("usable") / c("cells")).alias("usable_share"),
+                       "blocker", (c("n") / c("cells")).alias("share"), (c("area_m2") * c("alone") / c("cells")).alias("exclusive_m2"))
+
+
+def zones_advice(budget: DataFrame, interval_m: float) -> DataFrame:
+    """The blocker that frees most area when lifted alone, and how many more items would fit."""
+    c = F.col
+    best = budget.filter(c("exclusive_m2") > 0).groupBy(SITE).agg(
+        F.count(F.lit(1)).alias("groups"), F.max(F.struct("exclusive_m2", "blocker")).alias("b"))
+    return best.select(SITE, "groups", c("b.blocker").alias("blocker"), c("b.exclusive_m2").alias("exclusive_m2"),
+                       F.floor(c("b.exclusive_m2") / (interval_m * interval_m)).cast("long").alias("extra_items"))
+
+
+def buildable(cells: DataFrame, blocked: DataFrame, point_id: str = "cell_id") -> DataFrame:
+    return cells.join(blocked.select(SITE, point_id), [SITE, point_id], "left_anti")
+
+
+def clearance(points: DataFrame, edges: DataFrame, planting_type: str, point_id: str, cap: float = 5.0) -> DataFrame:
+    """How much farther than required the nearest constraint is, capped; negative inside a setback."""
+    from sitefit.operators.buckets import near_pairs
+
+    c = F.col
+    rules = required_reach(edges, planting_type).select(SITE, "x1", "y1", "x2", "y2", "required_m", (c("required_m") + cap).alias("r"))
+    near = near_pairs(points.select(SITE, point_id, "x", "y"), rules, c("r"), 12.0)
+    found = near.groupBy(SITE, point_id).agg(F.min(c("dist") - c("required_m")).alias("clearance_m"))
+    return points.select(SITE, point_id).join(found, [SITE, point_id], "left").withColumn("clearance_m", F.coalesce(F.least("clearance_m", F.lit(cap)), F.lit(cap)))
+
+
+def runs_of(cells: DataFrame) -> DataFrame:
+    """Maximal runs of neighbouring cells in one raster line."""
+    from pyspark.sql import Window as W
+
+    c = F.col
+    line = W.partitionBy(SITE, "iy").orderBy("ix")
+    rows = cells.withColumn("key", c("ix") - F.row_number().over(line))
+    return rows.groupBy(SITE, "iy", "key").agg(F.min("ix").alias("a"), F.max("ix").alias("b"), F.min("cell_id").alias("run_id"), F.count(F.lit(1)).alias("cells")).drop("key")
+
+
+def patches(cells: DataFrame) -> DataFrame:
+    """Connected parts of a cell set (four neighbours): components of runs that touch the run above."""
+    from sitefit.operators.iterate import components
+
+    c = F.col
+    runs = runs_of(cells)
+    above = runs.select(SITE, (c("iy") - 1).alias("iy"), c("a").alias("a2"), c("b").alias("b2"), c("run_id").alias("other"))
+    links = runs.join(above, [SITE, "iy"]).filter((c("a") <= c("b2")) & (c("a2") <= c("b"))).select(SITE, c("run_id").alias("u"), c("other").alias("v"))
+    labels = components(runs.select(SITE, c("run_id").alias("node")), links)
+    parts = runs.join(labels.withColumnRenamed("node", "run_id"), [SITE, "run_id"])
+    step = cells.select(SITE, "step").distinct()
+    sides = links.join(runs.select(SITE, c("run_id").alias("u"), c("a").alias("ua"), c("b").alias("ub")), [SITE, "u"]).join(
+        runs.select(SITE, c("run_id").alias("v"), c("a").alias("va"), c("b").alias("vb")), [SITE, "v"]).groupBy(SITE, c("u").alias("run_id")).agg(
+        F.sum(F.least("ub", "vb") - F.greatest("ua", "va") + 1).alias("shared"))
+    rows = parts.join(sides, [SITE, "run_id"], "left").fillna(0, ["shared"]).groupBy(SITE, c("label").alias("patch_id")).agg(
+        F.sum("cells").alias("cells"), (F.sum(c("cells") * 2 + 2) - F.sum("shared") * 2).alias("sides"))
+    return rows.join(step, SITE).select(SITE, "patch_id", "cells", (c("cells") * c("step") * c("step")).alias("area_m2"), (c("sides") * c("step")).alias("perimeter_m"))
+
+
+def legend_raster(features: DataFrame, edges: DataFrame, pixel: float) -> DataFrame:
+    """Pixels touched by each legend group: edges sampled at pixel steps."""
+    from sitefit.operators.measures import legend_key
+
+    c = F.col
+    keyed = edges.join(features.select(SITE, "gid", legend_key().alias("grp")), [SITE, "gid"])
+    steps = F.ceil(F.greatest(F.abs(c("x2") - c("x1")), F.abs(c("y2") - c("y1"))) / pixel)
+    rows = keyed.withColumn("n", F.greatest(steps, F.lit(1))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), c("n"))))
+    at = lambda a, b: F.floor((c(a) + (c(b) - c(a)) * (c("i") / c("n"))) / pixel).cast("long")
+    return rows.select(SITE, "grp", at("x1", "x2").alias("px"), at("y1", "y2").alias("py")).groupBy(SITE, "grp").agg(
+        F.countDistinct("px", "py").alias("pixels"))
+
+
+def scan_fill(edges: DataFrame, size: float) -> DataFrame:
+    """Cells of polygon interiors line by line: sorted crossings, filled between pairs."""
+    from pyspark.sql import Window as W
+
+    c = F.col
+    up = c("y1") <= c("y2")
+    e = edges.filter(c("geom_kind") == "polygon").select(SITE, "gid", F.when(up, c("x1")).otherwise(c("x2")).alias("xa"), F.least("y1", "y2").alias("ya"),
+                                                         F.when(up, c("x2")).otherwise(c("x1")).alias("xb"), F.greatest("y1", "y2").alias("yb")).filter(c("yb") > c("ya"))
+    lines = F.sequence(F.floor(c("ya") / size).cast("long"), F.floor(c("yb") / size).cast("long"))
+    rows = e.withColumn("iy", F.explode(lines)).withColumn("py", (c("iy") + 0.5) * size).filter((c("ya") <= c("py")) & (c("py") < c("yb")))
+    rows = rows.withColumn("cross", c("xa") + (c("py") - c("ya")) * (c("xb") - c("xa")) / (c("yb") - c("ya")))
+    w = W.partitionBy(SITE, "gid", "iy").orderBy("cross")
+    rows = rows.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("cross").over(w)).filter((c("r") % 2 == 1) & c("next").isNotNull())
+    lo, hi = F.ceil(c("cross") / size - 0.5).cast("long"), F.ceil(c("next") / size - 0.5).cast("long") - 1
+    return rows.withColumn("lo", lo).withColumn("hi", hi).filter(c("hi") >= c("lo")).groupBy(SITE, "gid").agg(F.sum(c("hi") - c("lo") + 1).alias("cells"))
+
+
+def roomiest(cells: DataFrame, room: DataFrame, keys: DataFrame, disc_m: float, rounds: int = 12) -> DataFrame:
+    """Spots with most room, one per patch and round; each removes a disc around itself before the next round."""
+    from sitefit.session import cut
+
+    c = F.col
+    left = cut(cells.select(SITE, "cell_id", "x", "y").join(room, [SITE, "cell_id"]).join(keys, [SITE, "cell_id"]))
+    out = None
+    for k in range(rounds):
+        best = left.groupBy(SITE, "patch_id").agg(F.max(F.struct("clearance_m", -c("cell_id"), "x", "y")).alias("b")).select(
+            SITE, "patch_id", (-c("b.col2")).alias("cell_id"), c("b.x").alias("bx"), c("b.y").alias("by"), c("b.clearance_m").alias("clearance_m"))
+        best = cut(best.withColumn("round", F.lit(k)))
+        if best.isEmpty():
+            break
+        out = best if out is None else out.unionByName(best)
+        dx, dy = c("x") - c("bx"), c("y") - c("by")
+        left = cut(left.join(best.select(SITE, "patch_id", "bx", "by"), [SITE, "patch_id"]).filter(dx * dx + dy * dy > disc_m * disc_m).drop("bx", "by"))
+    return out.select(SITE, "patch_id", "round", "cell_id", "clearance_m")
