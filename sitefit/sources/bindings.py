@@ -36,7 +36,7 @@ LAYER_NAMES = tuple(m[0] for m in fx.LAYER_MAP) + (
     "Трамвайные пути", "ТС проект", "Ливневая канализация", "Граница растительности и грунта", "Светофоры",
 )
 PHRASES = (
-    "Удали выделенные деревья", "сделай кусты пореже, шаг 2,5 м", "Сколько деревеьв в плане?", "Покажи нарушения!",
+    "Удали выделенные деревья", "сделай кусты пореже, шаг 2,5 м", "Сколкьо деревьев в плане?", "Покажи нарушеия!",
     "выдели все липы и покажи их", "Привет, помоги", "удали деревья, у которых нарушения", "можно удалить выделенные?",
     "Спасибо", "сгенерируй план заново", "не удаляй кусты", "покажи 3-д вид", "отмени последнее действие",
     "сними выделение", "отключи нормы", "деревья в два ряда; газон убери",
