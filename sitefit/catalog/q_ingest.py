@@ -67,15 +67,16 @@ def infer_closed(t):
     return ig.infer_closed(v)
 
 
-LOOPS = """SELECT s_suppkey {div} 4 AS fill, s_suppkey AS loop, (s_suppkey * 37) % 40 AS ax, (s_suppkey * 53) % 40 AS ay, (s_suppkey * 37) % 40 + 10 + (s_suppkey * 91) % 70 AS bx,
-  (s_suppkey * 53) % 40 + 10 + (s_suppkey * 67) % 70 AS by FROM supplier"""
+LOOPS = """SELECT s_suppkey {div} 4 AS fill, s_suppkey AS loop, (s_suppkey * 37) % 40 AS lx, (s_suppkey * 53) % 40 AS ly, (s_suppkey * 37) % 40 + 10 + (s_suppkey * 91) % 70 AS hx,
+  (s_suppkey * 53) % 40 + 10 + (s_suppkey * 67) % 70 AS hy FROM {t}"""
+cte("fill_loops", LOOPS.format(div="//", t="supplier"))
 
 
-@query("hatch_loops", sql(f"""SELECT l.fill, l.loop, CASE WHEN l.loop = o.loop THEN 'exterior' WHEN l.ax >= o.ax AND l.bx <= o.bx AND l.ay >= o.ay AND l.by <= o.by THEN 'hole' ELSE 'separate' END AS role
-  FROM ({LOOPS.format(div='//')}) l JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fill ORDER BY (bx - ax) * (by - ay) DESC, loop) AS r FROM ({LOOPS.format(div='//')}) q) z WHERE r = 1) o USING (fill)"""))
+@query("hatch_loops", sql("""SELECT l.fill, l.loop, CASE WHEN l.loop = o.loop THEN 'exterior' WHEN l.lx >= o.lx AND l.hx <= o.hx AND l.ly >= o.ly AND l.hy <= o.hy THEN 'hole' ELSE 'separate' END AS role
+  FROM fill_loops l JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fill ORDER BY (hx - lx) * (hy - ly) DESC, loop) AS r FROM fill_loops) z WHERE r = 1) o USING (fill)"""))
 def hatch_loops(t):
     """Exterior, holes and separate parts of every fill."""
-    return ig.hatch_loops(t.supplier.selectExpr(*[p.strip().replace("{div}", "div") for p in LOOPS[7:LOOPS.index(" FROM")].split(",")]))
+    return ig.hatch_loops(t.spark.sql(LOOPS.format(div="div", t="{supplier}"), supplier=t.supplier))
 
 
 @query("bundle_union", sql("""SELECT x.sheet, coalesce(n, 0)::BIGINT AS entities, CASE WHEN n IS NULL THEN 'lost' ELSE 'read' END AS status FROM (SELECT concat('sheet', r_regionkey * 5 + k) AS sheet FROM region, range(5) q(k)) x

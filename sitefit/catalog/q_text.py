@@ -28,10 +28,19 @@ KNOWN_WORDS = ", ".join(lit(w) for w in fx.TYPO_TARGETS + fx.TYPO_KNOWN)
 PREFIX = " OR ".join(f"starts_with(word, {lit(p)})" for p in fx.TYPO_KNOWN_PREFIXES)
 
 
+def shorter(a: str, b: str) -> str:
+    return f"len(list_filter(range(1, length({b}) + 1), lambda i: concat(substr({b}, 1, i - 1), substr({b}, i + 1)) = {a})) > 0"
+
+
+SWAPPED = "concat(substr(word, 1, i - 1), substr(word, i + 1, 1), substr(word, i, 1), substr(word, i + 2))"
+ONE_EDIT = f"""CASE length(word) - length(target) WHEN 0 THEN len(list_filter(range(1, length(word) + 1), lambda i: substr(word, i, 1) <> substr(target, i, 1))) = 1
+    OR (word <> target AND len(list_filter(range(1, length(word)), lambda i: {SWAPPED} = target)) > 0) WHEN 1 THEN {shorter('target', 'word')} WHEN -1 THEN {shorter('word', 'target')} ELSE FALSE END"""
+
+
 @query("fix_typos", sql(f"""SELECT w.conv_id, w.turn, w.word, f.fixed, w.n FROM (SELECT conv_id, turn, word, count(*)::BIGINT AS n FROM (
     SELECT conv_id, turn, unnest(regexp_extract_all(body, '[а-я]{{5,}}')) AS word FROM norm_msgs) q GROUP BY ALL) w
   JOIN (SELECT word, arg_min(target, priority) AS fixed FROM (SELECT DISTINCT unnest(regexp_extract_all(body, '[а-я]{{5,}}')) AS word FROM norm_msgs) v
-    JOIN d_typo ON substr(word, 1, 1) = substr(target, 1, 1) AND damerau_levenshtein(word, target) = 1 WHERE word NOT IN ({KNOWN_WORDS}) AND NOT ({PREFIX}) GROUP BY word) f USING (word)"""))
+    JOIN d_typo ON substr(word, 1, 1) = substr(target, 1, 1) AND {ONE_EDIT} WHERE word NOT IN ({KNOWN_WORDS}) AND NOT ({PREFIX}) GROUP BY word) f USING (word)"""))
 def fix_typos(t):
     """Misspelt planting words and their correction."""
     return tx.typo_fixes(t.utterances, ["conv_id", "turn"])

@@ -88,10 +88,10 @@ def infer_closed(vertices: DataFrame, tolerance: float = 0.05, least: int = 4) -
 def hatch_loops(loops: DataFrame) -> DataFrame:
     """Roles of the loops of one fill (boxes): the largest is the exterior, loops inside it are holes, others are separate."""
     c = F.col
-    area = (c("bx") - c("ax")) * (c("by") - c("ay"))
+    area = (c("hx") - c("lx")) * (c("hy") - c("ly"))
     rows = loops.withColumn("area", area)
-    outer = rows.groupBy("fill").agg(F.max(F.struct("area", -c("loop"), "ax", "ay", "bx", "by")).alias("o"))
-    inside = (c("ax") >= c("o.ax")) & (c("bx") <= c("o.bx")) & (c("ay") >= c("o.ay")) & (c("by") <= c("o.by"))
+    outer = rows.groupBy("fill").agg(F.max(F.struct("area", -c("loop"), "lx", "ly", "hx", "hy")).alias("o"))
+    inside = (c("lx") >= c("o.lx")) & (c("hx") <= c("o.hx")) & (c("ly") >= c("o.ly")) & (c("hy") <= c("o.hy"))
     role = F.when(-c("loop") == c("o.col2"), "exterior").when(inside, "hole").otherwise("separate")
     return rows.join(outer, "fill").select("fill", "loop", role.alias("role"))
 
