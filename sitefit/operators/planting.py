@@ -147,7 +147,6 @@ def accent_layout(spots: DataFrame, edges: DataFrame, outline: DataFrame, pitch_
 def crown_cascade(candidates: DataFrame, edges: DataFrame, outline: DataFrame) -> DataFrame:
     """Crown classes from wide to narrow: each class fills what the wider ones left, at the larger interval of the pair."""
     from sitefit.functions.rules import with_resolution
-    from sitefit.operators.buckets import to_cells  # noqa: F401
     from sitefit.operators.compliance import constraint_edges
     from sitefit.operators.select import greedy_select
     from sitefit.session import cut
@@ -166,7 +165,7 @@ def crown_cascade(candidates: DataFrame, edges: DataFrame, outline: DataFrame) -
             need = F.greatest(F.lit(interval), c("interval_m")) + 1e-3
             close = near_pairs(open_.select(SITE, "cand_id", "x", "y"), as_edges(placed.withColumn("need", need), "need"), c("need"), 8.0).filter(c("dist") < c("need")).select(SITE, "cand_id")
             open_ = open_.join(close, [SITE, "cand_id"], "left_anti")
-        won = cut(open_.join(greedy_select(open_, F.lit(interval / 2)), [SITE, "cand_id"], "left_semi").select(
+        won = cut(open_.join(greedy_select(open_, interval / 2), [SITE, "cand_id"], "left_semi").select(
             SITE, "cand_id", "x", "y", "score", F.lit(name).alias("species"), F.lit(crown).alias("crown"), F.lit(interval).alias("interval_m")))
         placed = won if placed is None else placed.unionByName(won)
     return placed
