@@ -6,14 +6,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper-case ASCII to lower case, for `bytes.translate`.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Entries a worker's word memo may hold before it starts anew; bounds its memory, changes no result.
-MEMO_ENTRIES = 200_000
 #: Documents that one Python step takes at a time.
 STEP_ROWS = 512
 
@@ -37,17 +34,75 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound."""
+#: Bytes that separate words.
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes hashed at a time; bounds a worker's memory, changes no result.
+CHUNK_BYTES = 1 << 21
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
+_BYTE = np.random.default_rng(20_241).integers(1 << 62, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+def mixed(x: np.ndarray, factor: int = 0xBF58476D1CE4E5B9) -> np.ndarray:
+    """A finishing step that spreads every bit of 64-bit values over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(27))
+
+
+class WordHashes:
+    """64-bit hashes of the words of texts, whole arrays at a time.
+
+    A word's hash is a polynomial of its bytes (each replaced by a fixed random odd number) modulo 2**64, taken as a
+    difference of running sums and shifted back to the word's own start, then mixed. It depends on the word alone.
+    """
+
+    def __init__(self, lower: bool = True) -> None:
+        self.lower = lower
+        self.up, self.back = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """The word hashes of each text, in the order of its words."""
+        out: list[np.ndarray] = []
+        group, held = [], 0
+        for text in texts:
+            if group and held + len(text or b"") > CHUNK_BYTES:
+                out += self._group(group)
+                group, held = [], 0
+            group.append(text or b"")
+            held += len(group[-1])
+        return out + (self._group(group) if group else [])
+
+    def _group(self, texts: list[bytes]) -> list[np.ndarray]:
+        ends = np.cumsum([len(text) + 1 for text in texts])
+        flat = b"\n".join(texts) + b"\n"
+        if self.lower:
+            flat = flat.translate(LOWER)
+        pieces, at = [], 0
+        while at < len(flat):
+            stop = min(at + 2 * CHUNK_BYTES, len(flat))
+            while stop < len(flat) and not BLANK[flat[stop - 1]]:
+                stop += 1
+            starts, found = self._hashes(np.frombuffer(flat, np.uint8, stop - at, at))
+            pieces.append((starts + at, found))
+            at = stop
+        starts, found = (np.concatenate(p) for p in zip(*pieces, strict=True))
+        return np.split(found, np.searchsorted(starts, ends[:-1]))
+
+    def _hashes(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(flat)
+        if len(self.up) < n + 1:
+            self.up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _STEP)]))
+            self.back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _BACK)]))
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], BLANK[flat], [True]])))
+        starts, ends = edge[::2], edge[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[flat] * self.up[:n], out=sums[1:])
+        return starts, mixed((sums[ends] - sums[starts]) * self.back[starts])
 
 
 def words_of(text: bytes | None) -> list[bytes]:

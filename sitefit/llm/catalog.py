@@ -23,5 +23,12 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_packing": op6_packing}
+def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose 3-word shingle sets are at least 90 % alike, as connected components."""
+    from sitefit.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, folder), width=3, num=9, den=10)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op6_packing)}
 ORACLES: dict[str, str] = {}
