@@ -30,5 +30,12 @@ def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(documents(spark, folder), width=3, num=9, den=10)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op6_packing)}
+def op10_katz(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all texts under a Katz back-off model of the training texts."""
+    from sitefit.llm.katz import katz_scores
+
+    return katz_scores(documents(spark, folder), divisor=7, held=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op6_packing, op10_katz)}
 ORACLES: dict[str, str] = {}
