@@ -236,7 +236,7 @@ def shards_of(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[Shard
             blobs.setdefault(int(shard[k]), []).append(columns[6][k].as_py())
         rows = np.flatnonzero(kind == 1)
         if len(rows):
-            flat = [columns[k].to_numpy(zero_copy_only=False)[rows].astype(np.int64) for k in (3, 4, 2, 5, 7)]
+            flat = [columns[k].take(pa.array(rows)).to_numpy() for k in (3, 4, 2, 5, 7)]  # no nulls among these
             for s in np.unique(shard[rows]).tolist():
                 blobs.setdefault(int(s), []).append([x[shard[rows] == s] for x in flat])
     while blobs:
