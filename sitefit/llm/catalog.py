@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitefit.llm.base import documents
+from sitefit.llm.base import documents, table
 
 
 def tokenizer_path() -> str:
@@ -37,5 +37,26 @@ def op10_katz(spark: SparkSession, folder: str) -> DataFrame:
     return katz_scores(documents(spark, folder), divisor=7, held=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op6_packing, op10_katz)}
+def op8_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all texts and edited texts, with their likeness."""
+    from sitefit.llm.multiset_hash import edited_fingerprints
+
+    return edited_fingerprints(documents(spark, folder))
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base measures and the verdict of risk-controlled cutoffs for all documents."""
+    from sitefit.llm.quality_rules import judged
+
+    return judged(table(spark, folder, "documents"), table(spark, folder, "labels"), stratum="lang")
+
+
+def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and matched license templates of all documents."""
+    from sitefit.llm.licenses import scan
+
+    return scan(documents(spark, folder))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op4_licenses, op6_packing, op8_multiset_hash, op9_quality_rules, op10_katz)}
 ORACLES: dict[str, str] = {}
