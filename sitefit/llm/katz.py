@@ -37,8 +37,8 @@ from sitefit.session import cut
 
 #: Words whose counts every task holds; contexts whose pairs are spread over all shards.
 HOT, SPREAD = 1 << 19, 1 << 12
-#: Tokens a task gathers before it writes a block, and tokens a shard should get.
-BLOCK_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 21
+#: Tokens a task gathers before it writes out word counts, or a block of pairs, and tokens a shard should get.
+BLOCK_TOKENS, PAIR_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 20, 3 << 19
 #: Counts up to this are discounted.
 KEEP_ABOVE = 5
 
@@ -162,7 +162,7 @@ def _packed(rows: DataFrame, hot: np.ndarray, shards: int, cold: bool) -> DataFr
             if not cold:
                 known = [(i, s) for i, s in zip(ids, sizes, strict=True) if i is not None]
                 yield batch([i % shards for i, _ in known], 2, [i for i, _ in known], None, None, [s for _, s in known], None)
-            if tokens >= BLOCK_TOKENS:
+            if tokens >= PAIR_TOKENS:
                 yield from report()
                 held, tokens = [[], [], [], []], 0
         if tokens:
@@ -205,16 +205,19 @@ def discounts(of_counts: dict[int, int]) -> dict[int, float]:
 class Shard:
     """The pairs of one shard: types (a, b) with training counts, and the occurrences that made them."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, n: np.ndarray, cold_n: np.ndarray, model: Model) -> None:
-        order = np.lexsort((b, a))
-        a, b, self.doc, n = a[order], b[order], doc[order].view(np.int64), n[order]
-        times = (n >> np.uint64(1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        self.at = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))  # type of each occurrence
-        self.times = times
+    def __init__(self, columns: list[np.ndarray], model: Model) -> None:
+        order = np.lexsort((columns[1], columns[0]))
+        for k in range(len(columns)):
+            columns[k] = columns[k][order]
+        a, b, doc, n, cold_n = columns
+        columns.clear()
+        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        first = np.flatnonzero(fresh)
+        self.at = (np.cumsum(fresh) - 1).astype(np.int32)  # type of each occurrence
+        self.doc, self.times = doc.view(np.int64), (n >> np.uint64(1)).astype(np.int32)
         self.a, self.b = a[first], b[first]
-        self.c = np.add.reduceat(times * (n & np.uint64(1)).astype(np.int64), first)
-        self.cb = np.where(self.b >= COLD_BIT, cold_n[order][first], model.counts(self.b))
+        self.c = np.add.reduceat(np.where(n & np.uint64(1), self.times, 0), first).astype(np.int64)
+        self.cb = np.where(self.b >= COLD_BIT, cold_n[first], model.counts(self.b))
         heads = np.concatenate([[True], self.a[1:] != self.a[:-1]])
         self.group, self.heads = np.cumsum(heads) - 1, np.flatnonzero(heads)
         self.wide = self.a[self.heads] < np.uint64(SPREAD + 2)
@@ -241,13 +244,18 @@ def shards_of(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[Shard
                 blobs.setdefault(int(s), []).append([x[shard[rows] == s] for x in flat])
     while blobs:
         _, parts = blobs.popitem()
-        columns = []
-        for part in parts:
+        found: list[list[np.ndarray]] = [[], [], [], [], []]
+        while parts:
+            part = parts.pop()
             if isinstance(part, bytes):
                 part = unsqueezed(part, 4)
-                part = [*part, np.zeros(len(part[0]), np.int64)]
-            columns.append([x.view(np.uint64) if k < 4 else x for k, x in enumerate(part)])
-        yield Shard(*[np.concatenate(x) for x in zip(*columns, strict=True)], model)
+                part = [*part, np.zeros(part.shape[1], np.int64)]
+            for k, x in enumerate(part):
+                found[k].append(x.view(np.uint64) if k < 4 else x)
+        columns = []
+        while found:
+            columns.append(np.concatenate(found.pop(0)))
+        yield Shard(columns, model)
 
 
 STATS = "a long, r0 long, r1 long, r2 long, r3 long, r4 long, r5 long, r6 long, above long, seen_mass double"
