@@ -58,5 +58,12 @@ def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return scan(documents(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op4_licenses, op6_packing, op8_multiset_hash, op9_quality_rules, op10_katz)}
+def op7_knn_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents by votes of their nearest labelled neighbours."""
+    from sitefit.llm.knn_quality import scores
+
+    return scores(documents(spark, folder), table(spark, folder, "labels"), divisor=5, held=0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op4_licenses, op6_packing, op7_knn_quality, op8_multiset_hash, op9_quality_rules, op10_katz)}
 ORACLES: dict[str, str] = {}
