@@ -65,5 +65,12 @@ def op7_knn_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scores(documents(spark, folder), table(spark, folder, "labels"), divisor=5, held=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op4_licenses, op6_packing, op7_knn_quality, op8_multiset_hash, op9_quality_rules, op10_katz)}
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents from a learned lexicon with misspellings."""
+    from sitefit.llm.toxicity import scores
+
+    return scores(documents(spark, folder), table(spark, folder, "labels"), divisor=4, held=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op4_licenses, op5_toxicity, op6_packing, op7_knn_quality, op8_multiset_hash, op9_quality_rules, op10_katz)}
 ORACLES: dict[str, str] = {}
