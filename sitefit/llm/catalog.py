@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitefit.llm.base import documents, table
 
@@ -72,5 +73,25 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scores(documents(spark, folder), table(spark, folder, "labels"), divisor=4, held=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op4_licenses, op5_toxicity, op6_packing, op7_knn_quality, op8_multiset_hash, op9_quality_rules, op10_katz)}
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidate strings and secrets of all documents, after a random forest."""
+    from sitefit.llm.secret_scan import counted
+
+    return counted(table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
+def domain_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The labelled table for mixing: the language of the documents that `labels` covers."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
+
+
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of all documents that bring the domains' expected tokens to smoothed shares."""
+    from sitefit.llm.mixing import rates
+
+    return rates(documents(spark, folder), domain_labels(spark, folder), power=0.8, most=1.0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_mixing, op4_licenses, op5_toxicity, op6_packing, op7_knn_quality, op8_multiset_hash, op9_quality_rules, op10_katz)}
 ORACLES: dict[str, str] = {}
