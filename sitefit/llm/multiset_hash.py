@@ -135,28 +135,28 @@ def likeness(wide: Column, sparse: Column, other_wide: Column, other_sparse: Col
     return F.when((wide == other_wide) & (sparse == other_sparse), F.lit(1.0)).otherwise(found.otherwise(share[-1]))
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds next_<column> of the row that follows by descending doc_id (the first row follows the last).
+def with_next(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds next_<column> of the row that follows by descending doc_id (the first row follows the last). `ids`: the rows' doc_id alone.
 
     Ids are cut into ranges of about RANGE_ROWS rows by the table's extent; rows follow each other within a range, and the last
     of a range is followed by the first of the next range that has rows.
     """
     c = F.col
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1, ((high - low + 1) * RANGE_ROWS) // max(n, 1)) if n and low is not None else 1
-    ranged = rows.withColumn("range_", F.coalesce(F.floor((c("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
+    place = F.coalesce(F.floor((c("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
     order = Window.partitionBy("range_").orderBy(F.desc_nulls_last("doc_id"), "text")
     after = F.struct(*columns)
-    linked = ranged.withColumns({"after_": F.lead(after).over(order), "place_": F.row_number().over(order)})
-    firsts = linked.filter("place_ = 1").select("range_", after.alias("first_"))
+    linked = rows.withColumn("range_", place).withColumns({"after_": F.lead(after).over(order), "follows_": F.lag(F.lit(True)).over(order)})
+    firsts = linked.filter("follows_ is null").select("range_", after.alias("first_"))
 
     # the range after each: within blocks of ranges, and from block to block
-    ranges = firsts.select("range_", F.floor(c("range_") / 4096).alias("block_"))
+    ranges = ids.select(place.alias("range_")).distinct().withColumn("block_", F.floor(c("range_") / 4096))
     blocks = ranges.groupBy("block_").agg(F.max("range_").alias("top_"))
-    top = blocks.agg(F.max("top_").alias("wrap_"))
-    blocks = blocks.select("block_", F.lead("top_").over(Window.orderBy(F.desc("block_"))).alias("below_")).join(top, how="cross")
+    wrap = blocks.agg(F.max("top_")).first()[0]
+    blocks = blocks.select("block_", F.lead("top_").over(Window.orderBy(F.desc("block_"))).alias("below_"))  # a row for 4096 ranges
     follow = ranges.withColumn("near_", F.lead("range_").over(Window.partitionBy("block_").orderBy(F.desc("range_")))).join(blocks, "block_")
-    follow = follow.select(c("range_").alias("asks_"), F.coalesce("near_", "below_", "wrap_").alias("range_"))
+    follow = follow.select(c("range_").alias("asks_"), F.coalesce(c("near_"), c("below_"), F.lit(wrap)).alias("range_"))
     borders = follow.join(firsts, "range_").select(c("asks_").alias("range_"), "first_")
     found = linked.join(borders, "range_").withColumn("after_", F.coalesce("after_", "first_"))
     return found.select(*rows.columns, *[c(f"after_.{name}").alias(f"next_{name}") for name in columns])
@@ -170,7 +170,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     c = F.col
     rows = docs.select(c("doc_id").cast("long").alias("doc_id"), F.coalesce(c("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_lanes(rows, "text", "wide", "sparse"), ["text", "wide", "sparse"])
+    rows = with_next(with_lanes(rows, "text", "wide", "sparse"), rows.select("doc_id"), ["text", "wide", "sparse"])
     half = F.floor(F.char_length("text") / 2).cast("int")
     rows = once(rows, n_chars=F.char_length("text"), edited=F.concat(F.substring(c("text"), F.lit(1), F.char_length("text") - half), F.substring(c("next_text"), F.lit(1), half)))
     rows = with_lanes(rows, "edited", "edited_wide", "edited_sparse")
