@@ -39,7 +39,7 @@ def feature_edges(t):
 
 
 @query("expand_blocks", sql("SELECT k, dx, dy, depth FROM tree", """tree AS (SELECT p_partkey::BIGINT AS k, p_partkey * 7 % 101 AS dx, p_partkey * 11 % 103 AS dy, 0::BIGINT AS depth FROM part WHERE p_partkey < 3
-  UNION ALL SELECT c.p_partkey, t.dx + c.p_partkey * 7 % 101, t.dy + c.p_partkey * 11 % 103, t.depth + 1 FROM tree t JOIN part c ON c.p_partkey // 3 = t.k AND c.p_partkey >= 3 WHERE t.depth < 8)"""))
+  UNION ALL SELECT c.p_partkey, t.dx + c.p_partkey * 7 % 101, t.dy + c.p_partkey * 11 % 103, t.depth + 1 FROM tree t JOIN part c ON c.p_partkey // 3 = t.k AND c.p_partkey >= 3)"""))
 def expand_blocks(t):
     """Nested block references with accumulated offsets."""
     p = t.part.selectExpr("cast(p_partkey as bigint) as k", "case when p_partkey >= 3 then cast(p_partkey div 3 as bigint) end as parent",

@@ -175,9 +175,8 @@ def legal_points(t):
 
 @query("nearby_constraints", sql(f"""
   SELECT site_id, item_id, 'constraint' AS kind, other_id, object_type, required_m FROM ({resolve_sql(
-    f'''(SELECT * FROM (SELECT d.site_id, d.item_id, d.gid AS other_id, d.object_type, i.planting_type, i.species,
-          row_number() OVER (PARTITION BY d.site_id, d.item_id ORDER BY d.dist, d.gid) AS rank
-        FROM object_distances d JOIN trees i USING (site_id, item_id) WHERE d.dist <= 15e0 AND d.object_type IN ({CHECKED})) w WHERE rank <= 250)''',
+    f'''(SELECT d.site_id, d.item_id, d.gid AS other_id, d.object_type, i.planting_type, i.species
+        FROM object_distances d JOIN trees i USING (site_id, item_id) WHERE d.dist <= 15e0 AND d.object_type IN ({CHECKED}))''',
     'site_id, item_id, other_id, object_type')}) c
   UNION ALL
   SELECT a.site_id, a.item_id, 'neighbour', b.item_id, 'neighbour_tree', greatest(sa.interval_m, sb.interval_m)
@@ -189,15 +188,13 @@ def nearby_constraints(t):
     return px.nearby_constraints(t.items, t.edges, 15.0)
 
 
-cte("sampled_items", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, group_id ORDER BY item_id) - 1 AS pos,
-    count(*) OVER (PARTITION BY site_id, group_id) AS n FROM items WHERE group_id IS NOT NULL AND planting_type <> 'lawn') q
-  WHERE n <= 40 OR pos IN (SELECT CAST(floor(k * (n / 40e0)) AS BIGINT) FROM range(40) r(k))""")
+cte("grouped_items", "SELECT * FROM items WHERE group_id IS NOT NULL AND planting_type <> 'lawn'")
 
 
 @query("worst_reading", sql(f"""
   SELECT site_id, group_id, min(actual_m - required_m) AS slack_m, arg_min(object_type, (actual_m - required_m, object_type, item_id)) AS object_type,
     arg_min(item_id, (actual_m - required_m, object_type, item_id)) AS item_id
-  FROM ({resolve_sql('(SELECT d.*, s.group_id, s.planting_type, s.species FROM item_distances d JOIN sampled_items s USING (site_id, item_id))',
+  FROM ({resolve_sql('(SELECT d.*, s.group_id, s.planting_type, s.species FROM item_distances d JOIN grouped_items s USING (site_id, item_id))',
     'site_id, item_id, group_id, object_type, actual_m')}) q GROUP BY ALL"""))
 def worst_reading(t):
     """Most violated or tightest constraint of every group."""

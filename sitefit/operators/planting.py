@@ -18,7 +18,8 @@ from sitefit.operators.measures import hash01
 GUIDE_TYPES = ("road", "sidewalk", "sidewalk_kerb", "tram_track")
 MIN_GUIDE_M, ROW_INSET_M, ROW_BAND_M = 15.0, 0.05, 6.0
 MAX_RAW_SAMPLES, OVERSAMPLE = 2_000_000, 4
-GROUP_PITCH_M, GROUP_RADIUS_M, MAX_GROUP_SAMPLES = 14.0, 3.0, 400
+GROUP_PITCH_M, GROUP_RADIUS_M = 14.0, 3.0
+DART_BLOCK = 10_000
 
 
 def row_guides(measures: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def row_candidates(offsets: DataFrame, legal: DataFrame) -> DataFrame:
 
 
 def dart_counts(frame: DataFrame, pitch_m: float) -> DataFrame:
-    """Raw samples a site would take; more than the guard allows is refused before anything is generated."""
+    """Raw samples a site takes, and a report of sites that take very many. Nothing is refused: samples are generated in many tasks."""
     c = F.col
     n = F.ceil(c("area_m2") / (pitch_m * pitch_m) * OVERSAMPLE).cast("long")
     return frame.select(SITE, n.alias("samples"), F.when(n > MAX_RAW_SAMPLES, "refused").otherwise("ok").alias("status"))
@@ -93,7 +94,11 @@ def dart_counts(frame: DataFrame, pitch_m: float) -> DataFrame:
 def darts(frame: DataFrame, pitch_m: float, seed: str) -> DataFrame:
     """Uniform darts over each site's box, fixed by (seed, site, number)."""
     c = F.col
-    rows = frame.join(dart_counts(frame, pitch_m).filter("status = 'ok'"), SITE).withColumn("dart_id", F.explode(F.sequence(F.lit(0).cast("long"), c("samples") - 1)))
+    counts = dart_counts(frame, pitch_m).filter("samples > 0")
+    # a site's samples in blocks, dealt out before they are generated, so that a large site is the work of many tasks
+    blocks = frame.join(counts, SITE).withColumn("from_", F.explode(F.sequence(F.lit(0).cast("long"), c("samples") - 1, F.lit(DART_BLOCK).cast("long"))))
+    blocks = blocks.repartition(SITE, "from_")
+    rows = blocks.withColumn("dart_id", F.explode(F.sequence(c("from_"), F.least(c("from_") + (DART_BLOCK - 1), c("samples") - 1))))
     key = F.concat_ws(":", F.lit(seed), c(SITE).cast("string"), c("dart_id").cast("string"))
     u, v = hash01(F.concat(key, F.lit(":x"))), hash01(F.concat(key, F.lit(":y")))
     return rows.select(SITE, "dart_id", (c("x0") + (c("xm") - c("x0")) * u).alias("x"), (c("y0") + (c("ym") - c("y0")) * v).alias("y"))
@@ -117,9 +122,9 @@ def group_positions(frame: DataFrame, outline: DataFrame, seed: str) -> DataFram
 
 
 def fill_group(centres: DataFrame, edges: DataFrame, outline: DataFrame, pitch_m: float) -> DataFrame:
-    """Dense legal points in a disc around each centre (site, id, x, y), at most 400 draws per disc."""
+    """Dense legal points in a disc around each centre (site, id, x, y), as many draws per disc as its area and the pitch ask for."""
     c = F.col
-    n = min(MAX_GROUP_SAMPLES, math.ceil(2 * math.pi * GROUP_RADIUS_M ** 2 / pitch_m ** 2))
+    n = math.ceil(2 * math.pi * GROUP_RADIUS_M ** 2 / pitch_m ** 2)
     rows = centres.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     key = F.concat_ws(":", c(SITE).cast("string"), c("id").cast("string"), c("k").cast("string"))
     r, a = F.sqrt(hash01(F.concat(key, F.lit(":r")))) * GROUP_RADIUS_M, hash01(F.concat(key, F.lit(":a"))) * (2 * math.pi)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitefit import fixed as fx
@@ -106,13 +105,12 @@ def legal_points(points: DataFrame, edges: DataFrame, point_id: str, species: st
         SITE, point_id, c("w").isNull().alias("legal"), c("w.object_type").alias("blocker"))
 
 
-def nearby_constraints(items: DataFrame, edges: DataFrame, radius: float, most: int = 250) -> DataFrame:
-    """Objects within the radius of every tree (nearest 250) with their requirement, and its neighbour trees."""
+def nearby_constraints(items: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
+    """All objects within the radius of every tree with their requirement, and its neighbour trees."""
     c = F.col
     trees = items.filter(c("planting_type") == "tree").select(SITE, "item_id", "x", "y", "species")
     objects = constraint_edges(edges)
     near = distance_to_objects(trees, objects, radius)
-    near = near.withColumn("rank", F.row_number().over(W.partitionBy(SITE, "item_id").orderBy("dist", "gid"))).filter(c("rank") <= most)
     kinds = objects.select(SITE, "gid", "object_type").distinct()
     near = near.join(kinds, [SITE, "gid"]).join(trees.select(SITE, "item_id", "species"), [SITE, "item_id"]).withColumn("planting_type", F.lit("tree"))
     constraints = with_resolution(near).select(SITE, "item_id", F.lit("constraint").alias("kind"), c("gid").alias("other_id"), "object_type", "required_m")
@@ -126,16 +124,10 @@ def nearby_constraints(items: DataFrame, edges: DataFrame, radius: float, most:
     return constraints.unionByName(neighbours)
 
 
-def worst_reading(items: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
-    """Most violated, else tightest constraint of each group, over at most 40 evenly spaced members."""
+def worst_reading(items: DataFrame, edges: DataFrame) -> DataFrame:
+    """Most violated, else tightest constraint of each group, over all its members."""
     c = F.col
-    groups = items.filter(c("group_id").isNotNull() & (c("planting_type") != "lawn"))
-    sizes = groups.groupBy(SITE, "group_id").agg(F.count(F.lit(1)).alias("n"))
-    at = F.row_number().over(W.partitionBy(SITE, "group_id").orderBy("item_id")) - 1
-    step = c("n") / F.lit(float(most))
-    first = F.ceil(c("at") / step)
-    sampled = (c("n") <= most) | ((first < most) & (F.floor(first * step) == c("at")))
-    chosen = groups.withColumn("at", at).join(sizes, [SITE, "group_id"]).filter(sampled)
+    chosen = items.filter(c("group_id").isNotNull() & (c("planting_type") != "lawn"))
     rows = distances(with_half(chosen), edges).join(chosen.select(SITE, "item_id", "group_id", "planting_type", "species"), [SITE, "item_id"])
     rows = with_resolution(rows)
     best = F.min(F.struct((c("actual_m") - c("required_m")).alias("slack_m"), "object_type", "item_id")).alias("b")

@@ -92,17 +92,13 @@ def edit_inverse(edits: DataFrame, items: DataFrame) -> DataFrame:
                                              F.coalesce("ptype", "planting_type").alias("planting_type"), F.coalesce("pspecies", "species").alias("species"))
 
 
-MAX_ROW_ITEMS = 5000
-
-
 def chain_order(items: DataFrame, key: str = "group_id") -> DataFrame:
     """Row members in walking order: start farthest from the mean, then the nearest one not visited.
 
-    A row of more than 5 000 members is refused, as a selection that large is not a row.
+    The walk is a chain of dependent steps, so a row is one task, whatever its length; a step searches the grid cells around
+    the last member, so a row of n members costs about n steps, not n * n.
     """
-    rows = items.filter(F.col(key).contains("-row-"))
-    size = rows.groupBy(SITE, key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= MAX_ROW_ITEMS).drop("n")
-    rows = rows.join(size, [SITE, key]).select(SITE, F.col(key).alias("group_id"), "item_id", "xc", "yc")
+    rows = items.filter(F.col(key).contains("-row-")).select(SITE, F.col(key).alias("group_id"), "item_id", "xc", "yc")
 
     def walk(pdf):
         import numpy as np
@@ -111,12 +107,32 @@ def chain_order(items: DataFrame, key: str = "group_id") -> DataFrame:
         x, y, n = pdf.xc.to_numpy(), pdf.yc.to_numpy(), len(pdf)
         # n times the offset from the mean keeps the arithmetic in integers
         at = int(np.argmax((n * x - x.sum()) ** 2 + (n * y - y.sum()) ** 2))
-        free, pos = np.ones(n, dtype=bool), np.empty(n, dtype=np.int64)
+        pos = np.empty(n, dtype=np.int64)
+        size = max(1, int(max(np.ptp(x), np.ptp(y))) // max(1, n // 2))
+        cells: dict = {}
+        for i, spot in enumerate(zip((x // size).tolist(), (y // size).tolist(), strict=True)):
+            cells.setdefault(spot, set()).add(i)
+
+        def nearest(i):
+            """The free member nearest to i, the first of equals; rings of cells until none farther out can be nearer."""
+            cx, cy, best, ring = int(x[i] // size), int(y[i] // size), None, 0
+            while cells and (best is None or best[0] > ((ring - 1) * size) ** 2):
+                if (2 * ring + 1) ** 2 > 4 * len(cells):  # more cells in the square than are occupied
+                    return min(((int(x[j] - x[i]) ** 2 + int(y[j] - y[i]) ** 2, j) for spot in cells.values() for j in spot))[1]
+                edge = range(-ring, ring + 1)
+                spots = {(cx + a, cy + b) for a in edge for b in ((-ring, ring) if abs(a) != ring else edge)}
+                found = [(int(x[j] - x[i]) ** 2 + int(y[j] - y[i]) ** 2, j) for spot in spots for j in cells.get(spot, ())]
+                best, ring = min([*found, *([best] if best else [])], default=None), ring + 1
+            return best[1]
+
         for k in range(n):
-            pos[at], free[at] = k, False
+            pos[at] = k
+            spot = (int(x[at] // size), int(y[at] // size))
+            cells[spot].discard(at)
+            if not cells[spot]:
+                del cells[spot]
             if k + 1 < n:
-                d = (x - x[at]) ** 2 + (y - y[at]) ** 2
-                at = int(np.argmin(np.where(free, d, np.iinfo(np.int64).max)))
+                at = nearest(at)
         return pdf[[SITE, "group_id", "item_id"]].assign(pos=pos)
 
     return rows.groupBy(SITE, "group_id").applyInPandas(walk, f"{SITE} long, group_id string, item_id long, pos long")

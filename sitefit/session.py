@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +29,14 @@ _scratch: dict[str, str] = {}
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a scratch folder only where it is unset."""
-    app = spark.sparkContext.applicationId
+    """The shared folder of the cluster (``spark.checkpoint.dir``); a scratch folder only for a local session without one."""
+    context = spark.sparkContext
+    app = context.applicationId
     if app not in _scratch:
-        _scratch[app] = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        _scratch[app] = shared or tempfile.mkdtemp(prefix="spark-")
     return _scratch[app]
 
 

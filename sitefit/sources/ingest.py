@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitefit import fixed as fx
 from sitefit.functions.geom import rounded, segments_cross
 from sitefit.operators.buckets import SITE
+from sitefit.session import cut
 
 FEATURE_SCHEMA = ("type string, properties map<string,string>, geometry struct<type:string,coordinates:array<array<double>>>")
 
@@ -38,19 +39,28 @@ def to_edges(vertices: DataFrame, closed: bool) -> DataFrame:
     return rows.filter(F.col("x2").isNotNull()).select(SITE, "gid", "seq", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
 
 
-MAX_BLOCK_DEPTH = 8
+def expand_blocks(inserts: DataFrame) -> DataFrame:
+    """Absolute offset and depth of every insert under its chain of parent blocks, however deep.
 
-
-def expand_blocks(inserts: DataFrame, depth: int = MAX_BLOCK_DEPTH) -> DataFrame:
-    """Absolute offset of every insert under its chain of parent blocks; deeper than the limit is not expanded."""
+    Pointer doubling: each insert knows the offset up to an ancestor, and a round replaces that ancestor by the ancestor's own,
+    so a chain of n inserts takes log2(n) rounds. Inserts that hang in a cycle, or from a parent that isn't there, never
+    reach a root: they come back as rows without offset and depth.
+    """
     c = F.col
-    level = inserts.filter(c("parent").isNull()).select("k", "dx", "dy", F.lit(0).cast("long").alias("depth"))
-    out = level
-    for step in range(1, depth + 1):
-        child = inserts.filter(c("parent").isNotNull()).select(c("k").alias("ck"), c("parent").alias("k"), c("dx").alias("cdx"), c("dy").alias("cdy"))
-        level = level.join(child, "k").select(c("ck").alias("k"), (c("dx") + c("cdx")).alias("dx"), (c("dy") + c("cdy")).alias("dy"), F.lit(step).cast("long").alias("depth"))
-        out = out.unionByName(level)
-    return out
+    none = F.lit(None).cast("long")
+    state = cut(inserts.select("k", c("parent").alias("up"), "dx", "dy", c("parent").isNotNull().cast("long").alias("depth")))
+    open_before = None
+    while True:
+        waiting = state.filter(c("up").isNotNull()).count()
+        # only cycles and missing parents keep as many open inserts over a round
+        if not waiting or waiting == open_before:
+            break
+        open_before = waiting
+        above = state.select(c("k").alias("up"), c("up").alias("next"), c("dx").alias("ax"), c("dy").alias("ay"), c("depth").alias("ad"), F.lit(True).alias("there"))
+        moved = state.filter(c("up").isNotNull()).join(above, "up", "left")
+        moved = moved.select("k", F.when(c("there"), c("next")).otherwise(c("up")).alias("up"), *[(c(a) + F.coalesce(b, F.lit(0))).alias(a) for a, b in (("dx", "ax"), ("dy", "ay"), ("depth", "ad"))])
+        state = cut(state.filter(c("up").isNull()).unionByName(moved))
+    return state.select("k", *[F.when(c("up").isNull(), c(name)).otherwise(none).alias(name) for name in ("dx", "dy", "depth")])
 
 
 def flatten_arcs(arcs: DataFrame, sagitta: float = 0.2) -> DataFrame:
