@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Upper-case ASCII to lower case, for `bytes.translate`.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bits of a filter over ids (a prime, 2 MB).
+BITS = 16_777_213
 #: Documents that one Python step takes at a time.
 STEP_ROWS = 512
 
@@ -117,6 +119,20 @@ def steps(batches: Iterable[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator[
             yield batch.slice(at, rows)
 
 
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit per remainder of the ids modulo BITS: a fixed-size filter without false negatives."""
+    bit = F.pmod("id", F.lit(BITS))
+    found = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 31))")).alias("bits"))
+    words = np.zeros(BITS // 32 + 1, np.uint32)
+    for row in found.toArrow().to_batches():
+        words[row.column(0).to_numpy()] = row.column(1).to_numpy().astype(np.uint32)
+    return words
+
+
+def in_bitmap(doc_id: int | None, words: np.ndarray) -> bool:
+    return doc_id is not None and bool(words[doc_id % BITS >> 5] >> (doc_id % BITS & 31) & 1)
+
+
 def map_texts(docs: DataFrame, step: Callable[[], Callable[[list, list], dict]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Runs `step()` once a task and what it returns on (ids, texts as UTF-8 bytes or None) a few hundred rows at a time.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefit.llm.base import map_texts, remainder, steps
+from sitefit.llm.base import id_bitmap, in_bitmap, map_texts, remainder, steps
 from sitefit.session import cut
 
 #: Terms of the lexicon, words that are never misspellings, labelled rows the model is fitted on: at most.
@@ -224,11 +224,26 @@ def scores(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2,
     """(doc_id, held_out, score, predicted) of every row; labels are learned only where crc32(id) modulo `divisor` isn't `held`."""
     c = F.col
     marks = marks_of(labels, divisor, held)
-    train = docs.select(c("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id").select(
-        "doc_id", "text", "toxic", F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)), F.lit(2)).cast("int").alias("half"), F.xxhash64("text").alias("copy"))
-    train = cut(train.dropDuplicates(["copy", "toxic"]))
-    sizes = {(r["half"], r["toxic"]): r["n"] for r in train.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
-    counts = cut(word_counts(train))
+    copies = docs.select(c("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)).alias("copy")).join(marks, "doc_id")
+    marks = copies.groupBy("copy", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", "copy", F.pmod("copy", F.lit(2)).cast("int").alias("half"))
+    marks = cut(marks)
+
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        """The chosen labelled rows with their texts; only those texts are shuffled (and a few whose ids share a bit)."""
+        wanted = id_bitmap(chosen.select(c("doc_id").alias("id")))
+
+        def pick():
+            def work(ids: list, texts: list) -> dict:
+                kept = [k for k, i in enumerate(ids) if in_bitmap(i, wanted)]
+                return {"doc_id": [ids[k] for k in kept], "text": [texts[k] for k in kept]}
+
+            return work
+
+        return map_texts(docs, pick, "doc_id long, text binary").join(chosen, "doc_id")
+
+    sizes = {(r["half"], r["toxic"]): r["n"] for r in marks.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    # words of a single harmless text teach nothing
+    counts = cut(word_counts(texts_of(marks)).filter((c("t0") + c("t1") >= LEAST_DOCS) | (c("o0") + c("o1") >= 2)))
     size = lambda toxic, *halves: sum(sizes.get((h, toxic), 0) for h in halves)
 
     def matcher(toxic: str, other: str, *halves: int) -> Matcher:
@@ -246,14 +261,14 @@ def scores(docs: DataFrame, labels: DataFrame, divisor: int = 4, held: int = 2,
 
     half = matcher("t0", "o0", 0)
     most = size(0, 1) + size(1, 1)
-    fitted = train.filter("half = 1")
+    fitted = marks.filter("half = 1")
     if most > FIT_ROWS:
         fitted = fitted.filter(F.pmod("copy", F.lit(1_000_003)) < int(1_000_003 * FIT_ROWS / most))
 
     def measure() -> object:
         return lambda ids, texts: {"doc_id": ids, "x": [half.features(t) for t in texts]}
 
-    rows = map_texts(fitted, measure, "doc_id long, x array<double>").join(fitted.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").select("x", "toxic").toArrow()
+    rows = map_texts(texts_of(fitted), measure, "doc_id long, x array<double>").join(fitted.select("doc_id", "toxic"), "doc_id").orderBy("doc_id").select("x", "toxic").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, 6)
     weights = logistic(x, np.array(rows.column("toxic").to_pylist(), float))
     full = matcher("t0 + t1", "o0 + o1", 0, 1)
