@@ -185,7 +185,12 @@ cte("dup_groups", """SELECT p.site_id, p.piece, least(p.piece, coalesce(min(o.ot
     SELECT a.site_id, a.piece, b.piece AS other FROM contours a JOIN contours b ON a.site_id = b.site_id AND a.piece <> b.piece
     WHERE greatest(least(a.xm, b.xm) - greatest(a.x0, b.x0), 0) * greatest(least(a.ym, b.ym) - greatest(a.y0, b.y0), 0) / ((a.xm - a.x0) * (a.ym - a.y0)) > 0.99e0
       AND greatest(least(a.xm, b.xm) - greatest(a.x0, b.x0), 0) * greatest(least(a.ym, b.ym) - greatest(a.y0, b.y0), 0) / ((b.xm - b.x0) * (b.ym - b.y0)) > 0.99e0) o ON o.site_id = p.site_id AND o.piece = p.piece GROUP BY p.site_id, p.piece""")
-cte("combined", """SELECT site_id, count(*)::BIGINT AS area_m2 FROM (SELECT site_id, ix, iy FROM contour_cells JOIN dup_groups USING (site_id, piece) WHERE piece = group_piece GROUP BY ALL HAVING count(*) % 2 = 1) q GROUP BY ALL""")
+cte("fold_pieces", "SELECT c.*, (xm - x0) * (ym - y0) AS n FROM contours c JOIN dup_groups USING (site_id, piece) WHERE piece = group_piece")
+cte("fold_depth", """SELECT a.site_id, a.piece, a.n, count(*) FILTER ((b.n > a.n OR (b.n = a.n AND b.piece < a.piece))
+    AND 100 * greatest(least(a.xm, b.xm) - greatest(a.x0, b.x0), 0) * greatest(least(a.ym, b.ym) - greatest(a.y0, b.y0), 0) > 99 * a.n) AS depth
+  FROM fold_pieces a JOIN fold_pieces b ON a.site_id = b.site_id GROUP BY ALL""")
+cte("combined", """SELECT site_id, count(*)::BIGINT AS area_m2 FROM (SELECT site_id, ix, iy, arg_max(depth, (-n, piece)) AS depth
+    FROM contour_cells JOIN fold_depth USING (site_id, piece) GROUP BY ALL) q WHERE depth % 2 = 0 GROUP BY ALL""")
 
 
 @query("territory_source", sql("SELECT * FROM contour_source"))

@@ -153,15 +153,13 @@ def to_utm(t):
     return t.items.select("site_id", "item_id", geom.rounded(east, 4).alias("easting"), geom.rounded(north, 4).alias("northing"))
 
 
-@query("from_utm")
+@query("from_utm", sql(f"""SELECT site_id, item_id, {rnd('37.6e0 + x / 100000e0', 7)} AS lon, {rnd('55.75e0 + y / 100000e0', 7)} AS lat FROM items"""))
 def from_utm(t):
-    """UTM metres back to degrees; returns the round-trip error in units of 1e-7 degree (always 0)."""
-    lon, lat = 37.6 + F.col("x") / 100000.0, 55.75 + F.col("y") / 100000.0
-    rows = t.items.select("site_id", "item_id", lon.alias("lon"), lat.alias("lat"))
-    east, north = me.to_utm(F.col("lon"), F.col("lat"), 37)
-    rows = rows.withColumn("e", east).withColumn("n", north)
-    blon, blat = me.from_utm(F.col("e"), F.col("n"), 37)
-    return rows.select("site_id", "item_id", F.round(F.abs(blon - F.col("lon")) * 1e7).alias("lon_error"), F.round(F.abs(blat - F.col("lat")) * 1e7).alias("lat_error"))
+    """UTM metres back to degrees: the check knows the degrees that the metres were made from."""
+    east, north = me.to_utm(37.6 + F.col("x") / 100000.0, 55.75 + F.col("y") / 100000.0, 37)
+    rows = t.items.select("site_id", "item_id", east.alias("e"), north.alias("n"))
+    lon, lat = me.from_utm(F.col("e"), F.col("n"), 37)
+    return rows.select("site_id", "item_id", geom.rounded(lon, 7).alias("lon"), geom.rounded(lat, 7).alias("lat"))
 
 
 @query("is_geographic", sql("SELECT object_type, min(x1) >= -180 AND max(x2) <= 180 AND min(y1) >= -90 AND max(y2) <= 90 AS is_geographic FROM edges GROUP BY ALL"))

@@ -60,12 +60,19 @@ def dominant_cluster(contours: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def combine(cells: DataFrame) -> DataFrame:
-    """Fold of nested pieces, biggest first: a piece wholly inside what is there is cut out, an island comes back.
+    """Fold of pieces, biggest first: a piece inside what is there is cut out, an island comes back, any other piece is united.
 
-    For nested pieces a cell belongs to the result when an odd number of pieces cover it.
+    A piece is inside a bigger one that covers more than 99 % of it, and cut out if an odd number of those do. The last piece of
+    the fold that covers a cell decides whether the cell belongs to the result.
     """
-    cover = cells.groupBy(SITE, "ix", "iy").agg(F.count(F.lit(1)).alias("cover"))
-    return cover.filter(F.col("cover") % 2 == 1).groupBy(SITE).agg(F.count(F.lit(1)).alias("area_m2"))
+    c = F.col
+    size = cells.groupBy(SITE, "piece").agg(F.count(F.lit(1)).alias("n"))
+    ranked = cells.join(size, [SITE, "piece"]).withColumn("turn", F.struct(-c("n"), c("piece")))
+    other = ranked.select(SITE, "ix", "iy", c("piece").alias("other"), c("turn").alias("other_turn"))
+    inside = ranked.join(other, [SITE, "ix", "iy"]).filter(c("other_turn") < c("turn")).groupBy(SITE, "piece", "n", "other").agg(F.count(F.lit(1)).alias("common"))
+    depth = inside.filter(c("common") * 100 > c("n") * 99).groupBy(SITE, "piece").agg(F.count(F.lit(1)).alias("depth"))
+    cover = ranked.join(depth, [SITE, "piece"], "left").groupBy(SITE, "ix", "iy").agg(F.max(F.struct("turn", (F.coalesce("depth", F.lit(0)) % 2).alias("odd"))).alias("last"))
+    return cover.filter(c("last.odd") == 0).groupBy(SITE).agg(F.count(F.lit(1)).alias("area_m2"))
 
 
 def territory_or_error(sites: DataFrame, chosen: DataFrame, area: DataFrame) -> DataFrame:

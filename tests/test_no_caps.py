@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitefit import session
-from sitefit.operators import planting
+from sitefit.operators import planting, territory
 from sitefit.plans.edits import chain_order
 from sitefit.sources.ingest import expand_blocks
 
@@ -47,6 +47,17 @@ def test_large_sites_are_sampled(spark):
     assert {r["site_id"]: (r["n"], r["d"]) for r in got} == {k: (n, n) for k, n in counts.items()}
 
 
+def test_overlapping_pieces_are_united_and_nested_ones_cut_out(spark):
+    def area(*boxes):
+        rows = [(1, k, *box) for k, box in enumerate(boxes)]
+        cells = territory.contour_cells(spark.createDataFrame(rows, "site_id long, piece long, x0 long, y0 long, xm long, ym long"))
+        return territory.combine(cells).first()["area_m2"]
+
+    assert area((0, 0, 10, 10), (5, 0, 15, 10)) == 150
+    assert area((0, 0, 20, 20), (5, 5, 15, 15)) == 300
+    assert area((5, 5, 15, 15), (0, 0, 20, 20), (8, 8, 10, 10)) == 304
+
+
 def test_a_cluster_needs_a_shared_folder():
     context = types.SimpleNamespace(applicationId="none", master="spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
