@@ -11,7 +11,8 @@ all training texts; nothing is pruned. What is broadcast is bounded: the HOT mos
 statistics of the SPREAD contexts. Words outside the hot list are looked up by joins with the unigram table.
 
 Passes: count words; look up rare words (a join); pack pair occurrences into compressed rows per block of text and shard, one
-shuffle; per shard, in numpy, statistics for the counts of counts and the spread contexts; per shard, scores; sums by document.
+shuffle; per shard, in numpy, statistics for the counts of counts and the spread contexts; per shard, scores; sums by document, which go in as many
+buckets of ids as there are shards (a bucket gets no more entries than a shard has pairs).
 A shard holds a bounded share of the pairs: only the single most frequent pair types can make it larger, and these are
 added up within each block and document before they are shuffled.
 
@@ -283,9 +284,10 @@ def backoff(seen: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return np.maximum(1.0 - seen, 1e-12) / np.maximum(1.0 - mass, 1e-12)
 
 
-def pair_scores(shards: DataFrame, model: Model, share: dict[int, float], wide_n: np.ndarray, wide_alpha: np.ndarray) -> DataFrame:
-    """(doc_id, score, base, known): sums over a document's tokens within each shard, added up."""
+def pair_scores(shards: DataFrame, model: Model, share: dict[int, float], wide_n: np.ndarray, wide_alpha: np.ndarray, buckets: int) -> DataFrame:
+    """(doc_id, score, base, known): sums over a document's tokens within each shard, packed by bucket of ids, and added up."""
     kinds = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("base", pa.float64()), ("known", pa.int64())])
+    packed = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
     kept = np.concatenate([[0.0], [share[r] for r in range(1, KEEP_ABOVE + 1)], [1.0]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,10 +305,21 @@ def pair_scores(shards: DataFrame, model: Model, share: dict[int, float], wide_n
             each = np.log10(p)
             base = np.log10((s.cb + 1.0) / (model.total + 1.0 * (model.types + 1)))
             docs, at = np.unique(s.doc, return_inverse=True)
-            columns = [np.bincount(at, s.times * x, len(docs)) for x in (each[s.at], base[s.at], (s.cb > 0)[s.at].astype(float))]
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int64))], schema=kinds)
+            sums = [np.bincount(at, s.times * x, len(docs)) for x in (each[s.at], base[s.at], (s.cb > 0)[s.at].astype(float))]
+            columns = [docs.view(np.uint64), sums[0].view(np.uint64), sums[1].view(np.uint64), sums[2].astype(np.uint64)]
+            bucket = (mixed(columns[0]) % np.uint64(buckets)).astype(np.int64)
+            found = np.split(np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
+            rows = [(k, squeezed([x[chosen] for x in columns])) for k, chosen in enumerate(found) if len(chosen)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=packed)
 
-    return shards.mapInArrow(run, "doc_id long, score double, base double, known long").groupBy("doc_id").agg(F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
+    def add(group: pa.Table) -> pa.Table:
+        parts = [unsqueezed(blob, 4) for blob in group.column("blob").to_pylist()]
+        docs, at = np.unique(np.concatenate([p[0] for p in parts]).view(np.int64), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([p[k] for p in parts]).view(np.float64), len(docs)) for k in (1, 2)]
+        known = np.bincount(at, np.concatenate([p[3] for p in parts]).astype(float), len(docs)).astype(np.int64)
+        return pa.Table.from_arrays([pa.array(docs), pa.array(sums[0]), pa.array(sums[1]), pa.array(known)], schema=kinds)
+
+    return shards.mapInArrow(run, "bucket long, blob binary").groupBy("bucket").applyInArrow(add, "doc_id long, score double, base double, known long")
 
 
 def katz_scores(docs: DataFrame, divisor: int = 7, held: int = 2, shards: int | None = None) -> DataFrame:
@@ -353,7 +366,7 @@ def katz_scores(docs: DataFrame, divisor: int = 7, held: int = 2, shards: int |
             grown = 1.0 if kept >= wide_n[r["a"]] else 0.0
             wide_alpha[r["a"]] = [float(backoff(np.array(kept / (wide_n[r["a"]] + grown)), np.array(r["seen_mass"]))), grown]
 
-    sums = pair_scores(pairs, model, share, wide_n, wide_alpha)
+    sums = pair_scores(pairs, model, share, wide_n, wide_alpha, shards)
     sizes = packed.filter("kind = 2").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"))
     known = sizes.join(sums, "doc_id", "left")
     return known.select("doc_id", (remainder(c("doc_id"), divisor) == held).alias("held_out"), "n_tokens", c("known").alias("n_known"),
