@@ -15,7 +15,8 @@ are few (at most MOST_DOMAINS, else an error): their totals and the classifier l
 
 Nulls, empty and odd input: a null or empty text has no tokens; its rate is 1, as it weighs nothing. Labels with a null id or domain are not
 read. Rows with a null id get rates as all others. Repeated rows are separate rows with equal rates. Other columns stay
-as they are. Without labels, or with one domain, every posterior is certain. An empty table gives no rows.
+as they are. Without labels, or with one domain, every posterior is certain; if no labelled
+document is there with a text, all are even. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,6 +67,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share).limit(2 * fit_rows)
     place = F.array_position(F.array(*[F.lit(d) for d in domains]), c("domain")).cast("double") - 1
     fitted = cut(_vectors(rows.filter("tokens > 0").join(F.broadcast(chosen), "doc_id"), "words_", "features").select("features", place.alias("label")))
+    if fitted.isEmpty():
+        even = F.array(*[F.lit(1.0 / len(domains))] * len(domains))
+        return rows.select("doc_id", "tokens", even.alias("posterior")), domains
     model = LogisticRegression(maxIter=30, regParam=1e-3, family="multinomial").fit(fitted)
     model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("chance_")
     found = model.transform(_vectors(rows, "words_", "features"))

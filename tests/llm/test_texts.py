@@ -1,0 +1,201 @@
+"""The operators that judge one text at a time: licenses, quality rules, toxicity, neighbours, fingerprints, secrets, mixing."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from sitefit.llm import knn_quality, licenses, mixing, multiset_hash, quality_rules, secret_scan, toxicity
+
+
+def auc(pairs):
+    pairs = sorted(pairs)
+    good = [k for k, (_, label) in enumerate(pairs) if label]
+    n, m = len(good), len(pairs) - len(good)
+    return (sum(good) - n * (n - 1) / 2) / (n * m)
+
+
+@pytest.fixture(scope="module")
+def hundredth(spark):
+    folder = "/root/testdata/sf0.01"
+    return spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+
+
+# licenses
+
+def test_license_phrases_and_templates(spark):
+    rows = [(1, "Licensed under the Apache License, Version 2.0."), (2, "the GNU General public license; GNU general PUBLIC license"), (3, "MITlicense apache licenses cc-by"),
+            (4, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and"
+                " this permission notice appear in all copies."),
+            (5, "Permission to use, copy, modify, and distribute this program for any purpose with or without fee is hereby granted"), (6, "under CC BY-NC 4.0"),
+            (7, "licensed under the apache license version 2 0 you may not use this file except in compliance with the license you may obtain a copy of the license at http://x.org/y")]
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (found[1]["n_base"], found[1]["first_word"], found[1]["labels"], found[1]["score"]) == (1, 3, "apache,apache-2.0", 1.0)
+    assert (found[2]["n_base"], found[2]["first_word"], found[2]["last_word"], found[2]["labels"], found[2]["score"]) == (2, 1, 5, "gpl", 0.5)
+    assert (found[3]["n_base"], found[3]["base_labels"], found[3]["n_words"]) == (1, "cc-by", 5)
+    assert found[4]["labels"] == "isc" and found[5]["labels"] == "" and found[6]["labels"] == "cc-by,cc-by-nc"
+    assert max(b - a for a, b in zip(found[7]["starts"], found[7]["ends"], strict=True)) >= 29
+
+
+def test_license_words_equal_the_pattern(small):
+    found = {r["doc_id"]: r for r in licenses.scan(small[0]).collect()}
+    for r in small[0].collect():
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"]))
+        places = [k for p in licenses.PHRASES for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        got = found[r["doc_id"]]
+        assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == (len(words), len(places), min(places, default=None), max(places, default=None))
+
+
+# quality rules
+
+def test_quality_measures(small):
+    found = {r["doc_id"]: r for r in quality_rules.judged(*small).collect()}
+    for r in small[0].collect():
+        text, got = r["text"], found[r["doc_id"]]
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        windows = Counter(zip(words, words[1:], words[2:], strict=False))
+        repeated = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        assert (got["n_words"], got["word_chars"], got["n_symbols"]) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)))
+        assert (got["n_dup_lines"], got["n_repeat_words"]) == (len(lines) - len(set(lines)), len(repeated))
+        assert got["base_failed"] == (len(words) < 50 or 100 * len(repeated) > 50 * len(words))
+        assert not (got["base_failed"] and got["kept"])
+
+
+def test_risk_is_controlled():
+    exact = sum(math.comb(40, i) * 0.1**i * 0.9 ** (40 - i) for i in range(3))
+    assert math.isclose(quality_rules.tail(2, 40, 0.1), exact, rel_tol=1e-9)
+    losses = [0] * 5 + [3, 40, 40, 40, 40, 40, 40, 4000]
+    assert quality_rules.chosen(100_000, losses, 0.01, 0.01) == 1.25
+    assert quality_rules.chosen(2000, losses, 0.01, 0.01) == quality_rules.GRID[5]
+    assert quality_rules.chosen(100, [0] * 13, 0.01, 0.01) is None
+
+
+def test_quality_rules_keep_good_documents(hundredth):
+    docs, labels = hundredth
+    found = quality_rules.judged(docs, labels).join(labels, "doc_id").filter("not base_failed and quality = 1").groupBy().agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert found >= 0.99
+
+
+# toxicity and neighbours
+
+def test_automaton_equals_edit_distance():
+    terms = {"idiot": 1.0, "moron": 1.0, "scum": 1.0, "étoile": 1.0}
+    matcher = toxicity.Matcher(terms, frozenset(["maroon"]))
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        return any(a[:i] + a[i + 1 :] in (b, *(b[:j] + b[j + 1 :] for j in [i] if len(a) == len(b))) for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    for word in ("idiot", "idi0t", "idot", "iddiot", "idiots", "xidiot", "idxxt", "moronx", "mroon", "maroon", "scun", "étoil", "étoile", "etoile", "", "a"):
+        found = matcher.find(word.encode())
+        expected = word in terms or (len(word) >= 5 and word != "maroon" and any(len(t) >= 5 and near(word, t) for t in terms))
+        assert (found is not None) == expected, word
+
+
+def test_quoted_hits_weigh_less():
+    matcher = toxicity.Matcher({"idiot": 2.0})
+    plain, quoted, said = (matcher.features(t.encode()) for t in ("you idiot", 'they wrote "you idiot" there', "and then she said you idiot"))
+    assert plain[0] > 0 and plain[1] == 0 and quoted[0] == said[0] == 0 and quoted[1] > 0 and said[1] > 0 and plain[3] > quoted[3]
+
+
+@pytest.mark.parametrize("module, column, divisor, held, least", [(toxicity, "toxic", 4, 2, 0.85), (knn_quality, "quality", 5, 0, 0.95)])
+def test_held_out_ranking(hundredth, module, column, divisor, held, least):
+    docs, labels = hundredth
+    rows = module.scores(docs, labels, divisor, held).join(labels, "doc_id").filter("held_out").collect()
+    assert auc([(r["score"], r[column]) for r in rows]) >= least
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+
+
+def test_labels_of_held_out_rows_are_not_read(small):
+    docs, labels = small
+    other = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    one, two = ({r["doc_id"]: r["score"] for r in knn_quality.scores(docs, x).collect()} for x in (labels, other))
+    assert one == two
+
+
+# fingerprints
+
+def test_fingerprints(small):
+    docs = small[0].limit(60)
+    found = {r["doc_id"]: r for r in multiset_hash.edited_fingerprints(docs).collect()}
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), reverse=True)
+    for k, (doc_id, text) in enumerate(rows):
+        after, half = rows[(k + 1) % len(rows)][1], len(text) // 2
+        got = found[doc_id]
+        assert got["n_chars"] == len(text) and got["edited_sha256"] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+        assert 0 <= got["near_next"] <= 1 and 0 <= got["near_edited"] <= 1
+    assert len({r["fingerprint"] for r in found.values()}) == len({text for _, text in rows})
+    assert sum(r["near_edited"] for r in found.values()) > 3 * sum(r["near_next"] for r in found.values())
+
+
+def test_fingerprint_is_a_sum(spark):
+    def of(text):
+        held = multiset_hash.with_lanes(spark.createDataFrame([(text,)], "t string"), "t", "a", "b")
+        return held.select(multiset_hash.digits(F.col("a"), F.col("b"))).first()[0]
+
+    whole, less = of("one two three\nfour five six\nseven eight"), of("one two three\nseven eight")
+    assert whole == of("seven eight\none two three\nfour five six") != less
+    rows = spark.createDataFrame([(whole, less, "four five six")], "whole string, less string, t string")
+    assert multiset_hash.changed(rows, "whole", "t", -1, "out").first()["out"] == less
+    assert multiset_hash.changed(rows, "less", "t", 1, "out").first()["out"] == whole
+
+
+# secrets
+
+def test_secrets_are_found_and_redacted(hundredth):
+    docs, _ = hundredth
+    pattern = r'(?i)token = "([0-9a-f]{40})"'
+    planted = {r["doc_id"] for r in docs.filter(F.col("text").rlike(pattern)).select("doc_id").collect()}
+    found = {r["doc_id"] for r in secret_scan.counted(docs).filter("n_secrets > 0").collect()}
+    assert planted and found == planted
+    clean = secret_scan.redacted(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count() and clean.filter(F.col("text").rlike(pattern)).count() == 0
+    assert clean.join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").filter("text <> was").count() == len(planted)
+
+
+# mixing
+
+def test_rates_meet_the_targets(hundredth):
+    docs, labels = hundredth
+    marks = docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
+    targets = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+    rows = mixing.rates(docs, marks, targets).collect()
+    assert len(rows) == docs.count() and all(0 <= r["rate"] <= 1 for r in rows)
+    totals = [sum(r["rate"] * r["tokens"] * r["posterior"][k] for r in rows) for k in range(4)]
+    for share, goal in zip([t / sum(totals) for t in totals], (0.2, 0.4, 0.2, 0.2), strict=True):  # de, en, es, fr
+        assert abs(share - goal) < 0.01
+    langs = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert sum(r["domain"] == langs[r["doc_id"]] for r in rows) >= 0.9 * len(rows)
+
+
+# odd rows, all of them
+
+@pytest.mark.parametrize("name", ["licenses", "quality", "toxicity", "neighbours", "fingerprints", "secrets", "mixing"])
+def test_odd_rows(name, odd_docs, no_docs, no_labels, spark):
+    labels = spark.createDataFrame([(6, 1, 1), (8, 0, 0), (8, 1, None), (5, 1, 0), (None, 1, 1), (77, 1, 1), (-9, 1, 0)], "doc_id long, quality int, toxic int")
+    domains = spark.createDataFrame([(6, "en"), (8, "de"), (None, "de"), (5, None)], "doc_id long, domain string")
+    run = {"licenses": lambda d, m: licenses.scan(d), "quality": lambda d, m: quality_rules.judged(d, labels if m else no_labels),
+           "toxicity": lambda d, m: toxicity.scores(d, labels if m else no_labels), "neighbours": lambda d, m: knn_quality.scores(d, labels if m else no_labels),
+           "fingerprints": lambda d, m: multiset_hash.edited_fingerprints(d), "secrets": lambda d, m: secret_scan.counted(d),
+           "mixing": lambda d, m: mixing.rates(d, domains if m else domains.limit(0))}[name]
+    ids = sorted(str(r["doc_id"]) for r in odd_docs.collect())
+    for marked in (True, False):
+        rows = run(odd_docs, marked).collect()
+        got = sorted(str(r["doc_id"]) for r in rows)
+        if name == "secrets":
+            assert set(got) == set(ids)
+        else:
+            assert got == ids
+        assert run(no_docs, marked).count() == 0
+
+
+def test_filters_keep_columns_and_null_ids(odd_docs, no_labels, spark):
+    kept = quality_rules.keep_good(odd_docs, no_labels)
+    assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} == {10, None}
+    thin = mixing.thinned(odd_docs, spark.createDataFrame([], "doc_id long, domain string"))
+    assert thin.columns == odd_docs.columns and thin.count() == odd_docs.count()
