@@ -2,8 +2,9 @@
 
 A classifier fitted on a labelled table (doc_id, domain) predicts each document's posterior over domains. Every document then gets a
 nonnegative rate r(d), and the expected tokens of a domain are the sum of r(d) * tokens(d) * posterior(d, domain). The rates
-minimise the squared distance of these totals from the targets by projected gradient descent, starting at 1: a step moves
-each rate against the gradient, scaled by the largest curvature, and clips it to [0, most]. Only one number a domain (the
+minimise the squared distance of these totals from the targets by projected gradient descent, starting at 1. Distances are
+whitened by the (small) matrix of products between domains, so that the curvature is one in every direction and a step of
+one is right: it moves each rate against the gradient and clips it to [0, most]. Only one number a domain (the
 residual) leaves the cluster in a step; a rate is a fold over the residuals so far, so steps hold no state, and a lost
 executor costs only its own rows.
 
@@ -21,8 +22,7 @@ document is there with a text, all are even. An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -35,7 +35,7 @@ from sitefit.session import cut
 #: Labelled rows that the classifier is fitted on, domains, hashed features: at most.
 FIT_ROWS, MOST_DOMAINS, BUCKETS = 4000, 200, 1 << 12
 #: Steps of the descent, and the relative residual that ends it earlier.
-STEPS, CLOSE = 60, 1e-4
+STEPS, CLOSE = 25, 1e-4
 
 
 def word_list(text: Column) -> Column:
@@ -78,8 +78,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     return found.select("doc_id", "tokens", F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda k: F.coalesce(F.get(chance, k), F.lit(0.0))).alias("posterior")), domains
 
 
-def _rate(history: list[list[float]], step: float, most: float) -> Column:
-    """The rate after the steps whose residuals are given: each moves it against its gradient and clips it."""
+def _rate(history: list[list[float]], most: float) -> Column:
+    """The rate after the steps whose whitened residuals are given: each moves it against its gradient and clips it."""
     c = F.col
     start = F.lit(min(1.0, most))
     if not history:
@@ -88,7 +88,7 @@ def _rate(history: list[list[float]], step: float, most: float) -> Column:
 
     def one(rate: Column, residual: Column) -> Column:
         slope = F.aggregate(F.zip_with(c("posterior"), residual, lambda p, r: p * r), F.lit(0.0), lambda a, b: a + b)
-        return F.least(F.greatest(rate - F.lit(step) * c("share") * slope, F.lit(0.0)), F.lit(float(most)))
+        return F.least(F.greatest(rate - c("share") * slope, F.lit(0.0)), F.lit(float(most)))
 
     return F.aggregate(residuals, start, one)
 
@@ -113,23 +113,20 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     size = min([most * h / w for h, w in zip(have, wanted, strict=True) if w > 0] + [most])
     goal = [size * w for w in wanted]
 
-    # tokens as shares of their mean keep the numbers near one; the curvature is the largest eigenvalue of a small matrix
-    rows = found.withColumn("share", c("tokens") * F.lit(sums["n"] / total))
-    grams = [F.sum(c("share") * c("share") * c("posterior")[i] * c("posterior")[j]) for i in range(len(domains)) for j in range(len(domains))]
-    gram = [float(x or 0) for x in rows.agg(*grams).first()]
+    # tokens as shares of their mean keep the numbers near one
     k = len(domains)
-    # residuals are shares of all tokens, so the slope of a rate is share / n times them
-    curve = max(sum(abs(gram[i * k + j]) for j in range(k)) for i in range(k)) / sums["n"]
-    step = 1.0 / curve if curve > 0 else 0.0
+    rows = found.withColumn("share", c("tokens") * F.lit(sums["n"] / total))
+    grams = [F.sum(c("share") * c("share") * c("posterior")[i] * c("posterior")[j]) for i in range(k) for j in range(k)]
+    whiten = np.linalg.pinv(np.array([float(x or 0) for x in rows.agg(*grams).first()]).reshape(k, k), rcond=1e-9, hermitian=True) * sums["n"]
     history: list[list[float]] = []
     for _ in range(STEPS):
-        now = rows.withColumn("rate", _rate(history, step, most)).agg(*[F.sum(c("rate") * c("tokens") * c("posterior")[i]) for i in range(k)]).first()
-        residual = [float(x or 0) / total - g for x, g in zip(now, goal, strict=True)]
-        if math.sqrt(sum(r * r for r in residual)) < CLOSE:
+        now = rows.withColumn("rate", _rate(history, most)).agg(*[F.sum(c("rate") * c("tokens") * c("posterior")[i]) for i in range(k)]).first()
+        residual = np.array([float(x or 0) / total - g for x, g in zip(now, goal, strict=True)])
+        if np.linalg.norm(residual) < CLOSE:
             break
-        history.append(residual)
+        history.append((whiten @ residual).tolist())
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    return rows.select("doc_id", "tokens", _rate(history, step, most).alias("rate"), "posterior", F.element_at(F.array(*[F.lit(d) for d in domains]), best).alias("domain"))
+    return rows.select("doc_id", "tokens", _rate(history, most).alias("rate"), "posterior", F.element_at(F.array(*[F.lit(d) for d in domains]), best).alias("domain"))
 
 
 def thinned(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, power: float = 0.8) -> DataFrame:
