@@ -34,8 +34,8 @@ from sitefit.session import cut
 
 #: Labelled rows that the classifier is fitted on, domains, hashed features: at most.
 FIT_ROWS, MOST_DOMAINS, BUCKETS = 4000, 200, 1 << 12
-#: Steps of the descent, and the relative residual that ends it earlier.
-STEPS, CLOSE = 25, 1e-4
+#: Steps of the descent, the residual (a share of all tokens) that ends it earlier, and the ratio of residuals that gains too little.
+STEPS, CLOSE, STALLED = 25, 1e-4, 0.95
 
 
 def word_list(text: Column) -> Column:
@@ -119,11 +119,14 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     grams = [F.sum(c("share") * c("share") * c("posterior")[i] * c("posterior")[j]) for i in range(k) for j in range(k)]
     whiten = np.linalg.pinv(np.array([float(x or 0) for x in rows.agg(*grams).first()]).reshape(k, k), rcond=1e-9, hermitian=True) * sums["n"]
     history: list[list[float]] = []
+    far = float("inf")
     for _ in range(STEPS):
         now = rows.withColumn("rate", _rate(history, most)).agg(*[F.sum(c("rate") * c("tokens") * c("posterior")[i]) for i in range(k)]).first()
         residual = np.array([float(x or 0) / total - g for x, g in zip(now, goal, strict=True)])
-        if np.linalg.norm(residual) < CLOSE:
+        near = float(np.linalg.norm(residual))
+        if near < CLOSE or near > STALLED * far:
             break
+        far = near
         history.append((whiten @ residual).tolist())
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     return rows.select("doc_id", "tokens", _rate(history, most).alias("rate"), "posterior", F.element_at(F.array(*[F.lit(d) for d in domains]), best).alias("domain"))
