@@ -139,16 +139,16 @@ def with_next(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     """Adds next_<column> of the row that follows by descending doc_id (the first row follows the last). `ids`: the rows' doc_id alone.
 
     Ids are cut into ranges of about RANGE_ROWS rows by the table's extent; rows follow each other within a range, and the last
-    of a range is followed by the first of the next range that has rows.
+    of a range is followed by the first of the next range that has rows. The columns hold no nulls.
     """
     c = F.col
     low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1, ((high - low + 1) * RANGE_ROWS) // max(n, 1)) if n and low is not None else 1
     place = F.coalesce(F.floor((c("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
     order = Window.partitionBy("range_").orderBy(F.desc_nulls_last("doc_id"), "text")
-    after = F.struct(*columns)
-    linked = rows.withColumn("range_", place).withColumns({"after_": F.lead(after).over(order), "follows_": F.lag(F.lit(True)).over(order)})
-    firsts = linked.filter("follows_ is null").select("range_", after.alias("first_"))
+    # plain columns, so that both uses read one exchange which holds each text once
+    linked = rows.withColumn("range_", place).withColumns({f"next_{name}": F.lead(name).over(order) for name in columns} | {"follows_": F.lag(F.lit(True)).over(order)})
+    firsts = linked.filter("follows_ is null").select("range_", *[c(name).alias(f"first_{name}") for name in columns])
 
     # the range after each: within blocks of ranges, and from block to block
     ranges = ids.select(place.alias("range_")).distinct().withColumn("block_", F.floor(c("range_") / 4096))
@@ -157,9 +157,9 @@ def with_next(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     blocks = blocks.select("block_", F.lead("top_").over(Window.orderBy(F.desc("block_"))).alias("below_"))  # a row for 4096 ranges
     follow = ranges.withColumn("near_", F.lead("range_").over(Window.partitionBy("block_").orderBy(F.desc("range_")))).join(blocks, "block_")
     follow = follow.select(c("range_").alias("asks_"), F.coalesce(c("near_"), c("below_"), F.lit(wrap)).alias("range_"))
-    borders = follow.join(firsts, "range_").select(c("asks_").alias("range_"), "first_")
-    found = linked.join(borders, "range_").withColumn("after_", F.coalesce("after_", "first_"))
-    return found.select(*rows.columns, *[c(f"after_.{name}").alias(f"next_{name}") for name in columns])
+    borders = follow.join(firsts, "range_").drop("range_").withColumnRenamed("asks_", "range_")
+    found = linked.join(borders, "range_")
+    return found.select(*rows.columns, *[F.coalesce(f"next_{name}", f"first_{name}").alias(f"next_{name}") for name in columns])
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
