@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sitefit.llm.base import once
+
 #: Wide lanes, levels and sparse lanes of a level, and the used lanes up to which a level isn't crowded.
 WIDE, LEVELS, LANES, ROOMY = 8, 5, 32, 24
 #: Rows that one range of ids should hold.
@@ -80,11 +82,6 @@ def _sparse(levels: list[Column]) -> Column:
     return F.flatten(F.array(*[lanes(hashes) for hashes in levels]))
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once a row however often they are used later."""
-    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
-
-
 def with_lanes(df: DataFrame, text: str, wide: str, sparse: str) -> DataFrame:
     """Adds the two parts of the fingerprint of a text column."""
     held = once(df, lines_=_line_hashes(F.col(text)), runs_=_run_hashes(F.col(text)))

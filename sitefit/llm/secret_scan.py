@@ -25,6 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitefit.llm.base import once
 from sitefit.session import cut
 
 #: Frequent words that count as dictionary, labelled findings a forest is fitted on: at most.
@@ -32,8 +33,9 @@ DICTIONARY, FIT_ROWS = 5000, 20_000
 #: Words of the text that announce a key, and words that announce something that looks like one.
 ANNOUNCE = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|client.?id)"
 DISCLAIM = r"(?i)(sha1|sha256|md5|checksum|commit|digest|hash|uuid|guid|example|sample|dummy|test|isbn|phone|card|order|invoice)"
-#: A candidate with what stands before it in its line (up to 40 characters) and what follows.
-CANDIDATE = r"[^\n]{0,40}(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9@+/_-])"
+#: A stretch between blanks that may hold a candidate, and in it a candidate after whatever stands before it.
+MAYBE = r"[A-Za-z0-9+/_-]{16}"
+CANDIDATE = r".*?(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![@.][A-Za-z0-9])"
 _KEY = r"([A-Za-z0-9+/_-]{16,}={0,2})$"
 
 FEATURES = ("length", "distinct", "changes", "digits", "upper", "hexadecimal", "coverage", "path", "assigned", "quoted", "announced", "disclaimed")
@@ -47,12 +49,15 @@ def frequent_words(docs: DataFrame, most: int = DICTIONARY) -> DataFrame:
 
 
 def candidates(docs: DataFrame, source: str = "source") -> DataFrame:
-    """(doc_id, source, candidate, before): every candidate with up to 40 characters before it."""
+    """(doc_id, source, candidate, before): every candidate, with the three words before it and what its own word begins with."""
     c = F.col
     place = c(source).cast("string") if source in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(c("doc_id").cast("long").alias("doc_id"), place.alias("source"), F.explode(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("found"))
+    rows = once(docs.select(c("doc_id").cast("long").alias("doc_id"), place.alias("source"), "text"), words=F.split(F.coalesce("text", F.lit("")), r"[ \t\r\n]+")).drop("text")
+    at = F.filter(F.transform("words", lambda w, k: F.when((F.length(w) >= 16) & w.rlike(MAYBE), k)), lambda k: k.isNotNull())
+    near = F.transform(at, lambda k: F.struct(F.get("words", k).alias("word"), F.concat_ws(" ", *[F.get("words", k - j) for j in (3, 2, 1)]).alias("near")))
+    rows = rows.select("doc_id", "source", F.inline(near)).select("doc_id", "source", "near", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("found"))
     rows = rows.withColumn("candidate", F.regexp_extract("found", _KEY, 1))
-    rows = rows.withColumn("before", F.expr("substring(found, 1, length(found) - length(candidate))"))
+    rows = rows.withColumn("before", F.expr("concat(near, ' ', substring(found, 1, length(found) - length(candidate)))"))
     mixed = c("candidate").rlike("[0-9]") | (c("candidate").rlike("[a-z][A-Z]") & c("candidate").rlike("[A-Z].*[a-z].*[A-Z]"))
     return rows.filter((c("candidate") != "") & mixed).select("doc_id", "source", "candidate", "before")
 
