@@ -1,9 +1,9 @@
 """Secret scans: candidate strings in texts, and a random forest that removes false positives.
 
-Candidates are runs of 16 or more key characters that are no plain words: a digit or both cases among letters. Each has features of its
-own (length, entropy-like share of different characters, transitions between character classes, shares of digits, upper case and
+Candidates are runs of 16 or more key characters and dots that are no plain words: a digit or both cases among letters. They begin after any
+other sign ('=', ':', '?', '@', a quote), and dotted parts stay together. Each has features of its own (length, entropy-like share of different characters, transitions between character classes, shares of digits, upper case and
 hexadecimal digits), its dictionary coverage (share of its characters in runs of letters that are common words of the corpus), its path
-(the row's source and path marks in the string or just before it), and its neighbours (an assignment, a quote, words that announce keys
+(the row's source, path marks in the string or just before it, a file's or host's ending, a mail address), and its neighbours (an assignment, a quote, words that announce keys
 or that announce something else). A random forest trained on labelled findings scores them.
 
 DataFrame functions and the JVM forest of pyspark.ml only.
@@ -13,8 +13,7 @@ all texts and broadcast; the forest is fitted on at most FIT_ROWS labelled findi
 
 Nulls, empty and odd input: null and empty texts have no candidates. Candidates of rows with a null id are found and scored. Repeated rows
 give repeated findings. Columns other than the id, the text and the source are never read. With findings of one label only, or
-none, the rule that labels them decides. An empty table gives no rows. Texts are read whole; a candidate longer than 512
-characters is measured by its first 512.
+none, the rule that labels them decides. An empty table gives no rows. Texts are read and candidates are measured whole.
 """
 
 from __future__ import annotations
@@ -33,10 +32,12 @@ DICTIONARY, FIT_ROWS = 5000, 20_000
 #: Words of the text that announce a key, and words that announce something that looks like one.
 ANNOUNCE = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|client.?id)"
 DISCLAIM = r"(?i)(sha1|sha256|md5|checksum|commit|digest|hash|uuid|guid|example|sample|dummy|test|isbn|phone|card|order|invoice)"
-#: A stretch between blanks that may hold a candidate, and in it a candidate after whatever stands before it.
-MAYBE = r"[A-Za-z0-9+/_-]{16}"
-CANDIDATE = r".*?(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![@.][A-Za-z0-9])"
-_KEY = r"([A-Za-z0-9+/_-]{16,}={0,2})$"
+#: A stretch between blanks that may hold a candidate, and in it a candidate after whatever stands before it, and the sign @ after it.
+MAYBE = r"[A-Za-z0-9+/_.-]{16}"
+CANDIDATE = r"(?s)\G.*?[A-Za-z0-9+/_.-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_.=-]))?@?"
+_KEY = r"([A-Za-z0-9+/_.-]{16,}+={0,2})@?$"
+#: What a candidate doesn't begin or end with.
+_EDGE = r"^(?:\.|//)+|\.+$"
 
 FEATURES = ("length", "distinct", "changes", "digits", "upper", "hexadecimal", "coverage", "path", "assigned", "quoted", "announced", "disclaimed")
 
@@ -49,17 +50,22 @@ def frequent_words(docs: DataFrame, most: int = DICTIONARY) -> DataFrame:
 
 
 def candidates(docs: DataFrame, source: str = "source") -> DataFrame:
-    """(doc_id, source, candidate, before): every candidate, with the three words before it and what its own word begins with."""
+    """(doc_id, source, candidate, before, after): every candidate, with the three words before it and what its own word begins with, and a following @."""
     c = F.col
     place = c(source).cast("string") if source in docs.columns else F.lit(None).cast("string")
     rows = once(docs.select(c("doc_id").cast("long").alias("doc_id"), place.alias("source"), "text"), words=F.split(F.coalesce("text", F.lit("")), r"[ \t\r\n]+")).drop("text")
     at = F.filter(F.transform("words", lambda w, k: F.when((F.length(w) >= 16) & w.rlike(MAYBE), k)), lambda k: k.isNotNull())
     near = F.transform(at, lambda k: F.struct(F.get("words", k).alias("word"), F.concat_ws(" ", *[F.get("words", k - j) for j in (3, 2, 1)]).alias("near")))
-    rows = rows.select("doc_id", "source", F.inline(near)).select("doc_id", "source", "near", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("found"))
-    rows = rows.withColumn("candidate", F.regexp_extract("found", _KEY, 1))
-    rows = rows.withColumn("before", F.expr("concat(near, ' ', substring(found, 1, length(found) - length(candidate)))"))
-    mixed = c("candidate").rlike("[0-9]") | (c("candidate").rlike("[a-z][A-Z]") & c("candidate").rlike("[A-Z].*[a-z].*[A-Z]"))
-    return rows.filter((c("candidate") != "") & mixed).select("doc_id", "source", "candidate", "before")
+    rows = once(rows.select("doc_id", "source", F.inline(near)), pieces=F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)))
+    # what stands before a candidate begins with the candidate before it, which may be the name it is assigned to
+    pieces = F.transform("pieces", lambda piece, k: F.struct(piece.alias("found"), F.when(k > 0, F.get("pieces", k - 1)).otherwise(F.lit("")).alias("former")))
+    rows = once(rows.select("doc_id", "source", "near", F.inline(pieces)), key=F.regexp_extract("found", _KEY, 1))
+    rows = once(rows, candidate=F.regexp_replace("key", _EDGE, ""))
+    lead = F.expr("substring(found, 1, length(found) - length(key) - int(found like '%@'))")
+    rows = rows.withColumn("before", F.concat("near", F.lit(" "), "former", lead, F.regexp_extract("key", r"^(?:\.|//)*", 0)))
+    rows = rows.withColumn("after", F.when(c("found").endswith("@"), F.lit("@")).otherwise(F.lit("")))
+    mixed = c("candidate").rlike("[0-9]") | (c("candidate").rlike("[a-z][A-Z]") & c("candidate").rlike("^[^A-Z]*+[A-Z][^a-z]*+[a-z][^A-Z]*+[A-Z]"))
+    return rows.filter((F.length("candidate") >= 16) & mixed).select("doc_id", "source", "candidate", "before", "after")
 
 
 def _share(text: Column, pattern: str) -> Column:
@@ -69,18 +75,22 @@ def _share(text: Column, pattern: str) -> Column:
 def measured(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Candidates with their features; each different string is looked up in the dictionary once."""
     c = F.col
-    word = F.substring(c("candidate"), 1, 512)
+    word = c("candidate")
+    after = c("after") if "after" in found.columns else F.lit("")
+    # a mail address, but not a key before the host of a link
+    mail = ((after == "@") & ~c("before").rlike("(//|:)$")) | (c("before").endswith("@") & c("candidate").contains("."))
     letters = F.filter(F.split(F.lower(F.regexp_replace(word, "(?<=[a-z])(?=[A-Z])", " ")), "[^a-z]+"), lambda w: F.length(w) >= 4)
     parts = found.select("candidate").distinct().select("candidate", F.explode(letters).alias("word"))
     covered = parts.join(F.broadcast(dictionary), "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("covered_"))
     rows = found.join(covered, "candidate", "left").withColumn("coverage", F.coalesce("covered_", F.lit(0)) / F.length(word)).drop("covered_")
     kinds = F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "A" * 26 + "a" * 26 + "0" * 10)
     return rows.withColumns({
-        "length": F.least(F.length("candidate"), F.lit(512)).cast("double"),
+        "length": F.length(word).cast("double"),
         "distinct": F.size(F.array_distinct(F.split(word, ""))) / F.length(word),
         "changes": F.length(F.regexp_replace(kinds, r"(.)\1*", "x")) / F.length(word),
         "digits": _share(word, "[0-9]"), "upper": _share(word, "[A-Z]"), "hexadecimal": _share(word, "[0-9a-fA-F]"),
-        "path": (c("candidate").rlike("[/].*[/]") | c("before").rlike(r"(https?:|[/\\.])$") | F.coalesce(c("source").rlike(r"(?i)(test|example|fixture|mock)"), F.lit(False))).cast("double"),
+        "path": (c("candidate").rlike("/[^/]*+/") | c("candidate").rlike(r"[.][A-Za-z][A-Za-z0-9]{0,5}(/|$)") | (c("before").rlike(r"(https?:|[/\\.])$") & (after != "@")) | mail
+                 | F.coalesce(c("source").rlike(r"(?i)(test|example|fixture|mock)"), F.lit(False))).cast("double"),
         "assigned": c("before").rlike(r"[=:]\s*[\"']?$").cast("double"), "quoted": c("before").rlike("[\"']$").cast("double"),
         "announced": c("before").rlike(ANNOUNCE).cast("double"), "disclaimed": c("before").rlike(DISCLAIM).cast("double")})
 
@@ -92,9 +102,12 @@ def rule_labels(rows: DataFrame) -> DataFrame:
     else are none.
     """
     c = F.col
-    random = (c("distinct") > 0.2) & (c("coverage") < 0.4) & (c("changes") > 0.25)
+    # few different characters are no sign against a long string; keys in capitals and digits change seldom
+    varied = c("distinct") * c("length") > F.least(F.lit(0.2) * c("length"), F.lit(20.0))
+    capitals = (c("upper") + c("digits") > 0.999) & (c("digits") > 0) & (c("upper") > 0) & (c("distinct") > 0.5)
+    random = varied & (c("coverage") < 0.4) & ((c("changes") > 0.25) | capitals)
     positive = (c("announced") == 1) & (c("assigned") == 1) & (c("disclaimed") == 0) & random
-    negative = (c("digits") == 1) | (c("coverage") >= 0.5) | (c("path") == 1) | ((c("disclaimed") == 1) & (c("announced") == 0)) | (c("changes") < 0.1)
+    negative = (c("digits") == 1) | (c("coverage") >= 0.5) | (c("path") == 1) | ((c("disclaimed") == 1) & (c("announced") == 0)) | ((c("changes") < 0.1) & ~capitals)
     return rows.withColumn("secret", F.when(positive, 1.0).when(negative, 0.0)).filter("secret is not null")
 
 
@@ -122,7 +135,7 @@ def _assembled(rows: DataFrame) -> DataFrame:
 def findings(docs: DataFrame, labelled: DataFrame | None = None, source: str = "source", threshold: float = 0.5) -> DataFrame:
     """(doc_id, candidate, before, features, score, secret): all candidates with the chance that they are secrets.
 
-    `labelled` has the features' inputs (source, candidate, before) and `secret`; by default the corpus' own findings are labelled by rule.
+    `labelled` has the features' inputs (source, candidate, before, and after if it is known) and `secret`; by default the corpus' own findings are labelled by rule.
     """
     c = F.col
     dictionary = cut(frequent_words(docs))
