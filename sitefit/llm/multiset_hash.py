@@ -1,14 +1,15 @@
 """Order-independent fingerprints of documents that can be updated by paragraph.
 
-Homomorphic multiset hash. A text is cut into paragraphs (lines) and those into short runs of words, at places that the words
-themselves decide, so an edit moves no cut beyond its own run. Each element is hashed to a wide vector, and a text's
+Homomorphic multiset hash. A text is cut into paragraphs (lines) and those into short runs of words, at places that a hash of
+each word decides, so an edit moves no cut beyond its own run. A word ends after any sign that isn't a letter or digit, and
+after each character of scripts that are written without blanks. Each element is hashed to a wide vector, and a text's
 fingerprint is the sum of its elements' vectors modulo powers of two. The sum doesn't depend on order, and an element is
 inserted or deleted by adding or subtracting its vector (`changed`): no text need be read again.
 
 A vector has two parts. WIDE lanes of 32 bits take a hash of the whole paragraph each, and decide equality. The other lanes, of
 16 bits, are sparse: a run adds its hash to one lane of each level it belongs to, so that lanes of similar texts stay
-equal. Level 0 holds all runs, each further level a quarter of the last one's, so texts of any length have a level whose
-lanes aren't crowded. The likeness of two fingerprints is the share of equal lanes among those used in either, from the
+equal. Level 0 holds all runs, each further level a quarter of the last one's. A string has less than 2**31 bytes, and of
+so many runs about two are in the last level, so texts of any length have a level whose lanes aren't crowded. The likeness of two fingerprints is the share of equal lanes among those used in either, from the
 first level with enough unused lanes on.
 
 Fingerprints are hexadecimal strings, 8 digits a wide lane and 4 a sparse one.
@@ -30,11 +31,12 @@ from pyspark.sql.window import Window
 from sitefit.llm.base import once
 
 #: Wide lanes, levels and sparse lanes of a level, and the used lanes up to which a level isn't crowded.
-WIDE, LEVELS, LANES, ROOMY = 8, 5, 32, 24
+WIDE, LEVELS, LANES, ROOMY = 8, 16, 32, 24
 #: Rows that one range of ids should hold.
 RANGE_ROWS = 512
-#: A run of words ends after a word with one of these ends (about every sixth word), or at a line's end.
-CUTS = r"(?<=[a-zA-Z0-9][.!?|;:]|n|s|[!#*$%&]) +"
+#: Where a word ends; a run ends after one word in RUN_WORDS, or at a line's end.
+WORD_END = r"(?<=[^\p{L}\p{M}\p{N}]|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
+RUN_WORDS = 6
 
 _LANE = (1 << 32) - 1
 _SHORT = (1 << 16) - 1
@@ -47,7 +49,8 @@ def paragraphs(text: Column) -> Column:
 
 def runs(text: Column) -> Column:
     """Runs of words, cut at line ends and where the words say so."""
-    return F.filter(F.split(text, "\n|" + CUTS), lambda run: run != "")
+    words = F.transform(F.split(text, WORD_END), lambda word: F.when(F.pmod(F.xxhash64(word, F.lit(1)), F.lit(RUN_WORDS)) == 0, F.concat(word, F.lit("\n"))).otherwise(word))
+    return F.filter(F.transform(F.split(F.array_join(words, ""), "\n"), lambda run: F.trim(run)), lambda run: run != "")
 
 
 def _line_hashes(text: Column) -> Column:
@@ -69,8 +72,8 @@ def _wide(lines: Column) -> Column:
 
 
 def _of_level(hashes: Column, k: int) -> Column:
-    """The run hashes of a level: two bits from 32 on for each."""
-    return F.filter(hashes, lambda h: F.shiftright(h, 32).bitwiseAND(F.lit(4**k - 1)) == 0) if k else hashes
+    """The run hashes of a level, from those of the level before: two more bits from 32 on for each."""
+    return F.filter(hashes, lambda h: F.shiftright(h, 30 + 2 * k).bitwiseAND(F.lit(3)) == 0) if k else hashes
 
 
 def _sparse(levels: list[Column]) -> Column:
@@ -79,13 +82,15 @@ def _sparse(levels: list[Column]) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda lane: F.aggregate(
             hashes, F.lit(0).cast("long"), lambda held, h: F.when(F.shiftright(h, 16).bitwiseAND(F.lit(LANES - 1)) == lane, (held + h.bitwiseAND(F.lit(_SHORT))).bitwiseAND(F.lit(_SHORT))).otherwise(held)))
 
-    return F.flatten(F.array(*[lanes(hashes) for hashes in levels]))
+    none = F.array_repeat(F.lit(0).cast("long"), LANES)
+    return F.flatten(F.array(*[F.when(F.size(hashes) == 0, none).otherwise(lanes(hashes)) for hashes in levels])).cast("array<int>")
 
 
 def with_lanes(df: DataFrame, text: str, wide: str, sparse: str) -> DataFrame:
     """Adds the two parts of the fingerprint of a text column."""
     held = once(df, lines_=_line_hashes(F.col(text)), runs_=_run_hashes(F.col(text)))
-    held = once(held, **{f"level{k}_": _of_level(F.col("runs_"), k) for k in range(LEVELS)})
+    for k in range(LEVELS):
+        held = once(held, **{f"level{k}_": _of_level(F.col(f"level{k - 1}_" if k else "runs_"), k)})
     held = once(held, **{wide: _wide(F.col("lines_")), sparse: _sparse([F.col(f"level{k}_") for k in range(LEVELS)])})
     return held.drop("lines_", "runs_", *[f"level{k}_" for k in range(LEVELS)])
 
@@ -120,16 +125,18 @@ def changed(df: DataFrame, fingerprint: str, text: str, sign: int, out: str) ->
 
 def likeness(wide: Column, sparse: Column, other_wide: Column, other_sparse: Column) -> Column:
     """0 to 1, about the share of runs that both texts have; 1 for equal fingerprints."""
-    used, same = [], []
-    for k in range(LEVELS):
-        pair = F.arrays_zip(F.slice(sparse, k * LANES + 1, LANES).alias("a"), F.slice(other_sparse, k * LANES + 1, LANES).alias("b"))
-        used.append(F.size(F.filter(pair, lambda p: (p["a"] != 0) | (p["b"] != 0))))
-        same.append(F.size(F.filter(pair, lambda p: (p["a"] != 0) & (p["a"] == p["b"]))))
-    share = [sum(same[k + 1 :], same[k]) / F.greatest(sum(used[k + 1 :], used[k]), F.lit(1)) for k in range(LEVELS)]
-    found = F.when(used[0] <= ROOMY, share[0])
-    for k in range(1, LEVELS - 1):
-        found = found.when(used[k] <= ROOMY, share[k])
-    return F.when((wide == other_wide) & (sparse == other_sparse), F.lit(1.0)).otherwise(found.otherwise(share[-1]))
+    def level(k: Column) -> Column:
+        pair = F.arrays_zip(F.slice(sparse, k * LANES + 1, F.lit(LANES)).alias("a"), F.slice(other_sparse, k * LANES + 1, F.lit(LANES)).alias("b"))
+        used = F.filter(pair, lambda p: (p["a"] != 0) | (p["b"] != 0))
+        return F.struct(F.size(used).alias("used"), F.size(F.filter(used, lambda p: p["a"] == p["b"])).alias("same"))
+
+    def add(held: Column, k: Column) -> Column:
+        return F.transform(F.array(level(k)), lambda x: F.when(held["open"] | (x["used"] <= ROOMY) | (k == LEVELS - 1), F.struct(
+            F.lit(True).alias("open"), (held["used"] + x["used"]).alias("used"), (held["same"] + x["same"]).alias("same"))).otherwise(held))[0]
+
+    start = F.struct(F.lit(False).alias("open"), F.lit(0).alias("used"), F.lit(0).alias("same"))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, add, lambda held: held["same"] / F.greatest(held["used"], F.lit(1)))
+    return F.when((wide == other_wide) & (sparse == other_sparse), F.lit(1.0)).otherwise(found)
 
 
 def with_next(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:

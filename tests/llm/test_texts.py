@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -145,6 +146,27 @@ def test_fingerprint_is_a_sum(spark):
     assert multiset_hash.changed(rows, "less", "t", 1, "out").first()["out"] == whole
 
 
+def test_likeness_of_long_texts_and_other_scripts(spark):
+    chance = random.Random(5)
+    han, cyrillic = [chr(0x4E00 + k) for k in range(3000)], ["".join(chr(0x430 + chance.randrange(32)) for _ in range(6)) for _ in range(5000)]
+
+    def text(n, words, gap):
+        return gap.join(chance.choice(words) for _ in range(n))
+
+    latin = [f"{a}{b}{c}" for a in ("ab", "ro", "ti", "lum") for b in ("ker", "sol", "min", "dra", "fe") for c in range(200)]
+    cases = [(n, latin, " ") for n in (1000, 10_000, 100_000, 1_000_000)] + [(n, cyrillic, " ") for n in (1000, 100_000)] + [(n, han, "") for n in (1000, 100_000)]
+    pairs = []
+    for k, (n, words, gap) in [x for x in enumerate(cases) for _ in range(3 if x[1][0] == 1_000_000 else 8)]:
+        kept, tails = text(n // 2, words, gap), [text(n - n // 2, words, gap) for _ in range(2)]
+        pairs.append((k, kept + gap + tails[0], kept + gap + tails[1], text(n, words, gap)))
+    rows = spark.createDataFrame(pairs, "k int, a string, b string, c string").repartition(16)
+    for name in "abc":
+        rows = multiset_hash.with_lanes(rows, name, f"{name}_wide", f"{name}_sparse")
+    near = [multiset_hash.likeness(F.col("a_wide"), F.col("a_sparse"), F.col(f"{x}_wide"), F.col(f"{x}_sparse")).alias(x) for x in "abc"]
+    for r in rows.select("k", *near).groupBy("k").agg(F.min("a").alias("a"), F.avg("b").alias("b"), F.avg("c").alias("c")).orderBy("k").collect():
+        assert r["a"] == 1 and 0.12 <= r["b"] <= 0.6 and r["c"] <= 0.06, (cases[r["k"]][0], cases[r["k"]][2], r)  # a third of all runs is shared
+
+
 # secrets
 
 def test_secrets_are_found_and_redacted(hundredth):
