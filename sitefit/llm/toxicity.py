@@ -2,7 +2,7 @@
 
 Lexicon. Words of labelled training texts whose log-odds of toxicity are high and certain (a z-score) are terms; a short list of
 plain insults is added with a modest weight. Terms form a trie, and the trie is intersected with the Levenshtein automaton
-of one edit: states are sets of (trie node, edits used), made into a deterministic automaton as words are read. A word that leaves the
+of one edit, which for longer terms may be a swap of neighbours: states are sets of (trie node, edits used), made into a deterministic automaton as words are read. A word that leaves the
 automaton is rejected at once. Words known from harmless training texts are never taken for misspellings.
 
 Context. A hit inside quotation marks of its line, or soon after a word of reporting, is a quotation. Hits close together add up: a text
@@ -37,6 +37,8 @@ from sitefit.session import cut
 TERMS, EXCEPTIONS, FIT_ROWS = 2000, 100_000, 20_000
 #: Documents and certainty that make a word a term; letters that a term needs to be matched with an edit.
 LEAST_DOCS, LEAST_Z, FUZZY_LETTERS = 3, 3.0, 5
+#: Letters that a term needs to be matched with two neighbours swapped.
+SWAP_LETTERS = 6
 #: Words on either side of a hit that make its window; words after a reporting word that count as quoted.
 WINDOW, REPORTED = 12, 6
 #: Plain insults, known without labels, and their weight.
@@ -78,7 +80,7 @@ class Matcher:
         self.memo: dict[bytes, tuple[str, int] | None] = {}
         self.start = self._state({(0, 0)})
 
-    def _state(self, found: set[tuple[int, int]]) -> int:
+    def _state(self, found: set[tuple[int, int | str]]) -> int:
         """The state of these positions and of those a left-out letter leads to; -1 for none."""
         found |= {(child, 1) for node, edits in found if edits == 0 for child in self.children[node].values()}
         found -= {(node, 1) for node, edits in found if edits == 0}
@@ -92,18 +94,24 @@ class Matcher:
         return self.known[key]
 
     def _move(self, state: int, letter: str) -> int:
+        # edits: 0, 1, 2 after a swap, or the letter that must come to end a swap
         found = set()
         for node, edits in self.states[state]:
+            if isinstance(edits, str):
+                if letter == edits:
+                    found.add((node, 2))
+                continue
             if letter in self.children[node]:
                 found.add((self.children[node][letter], edits))
             if edits == 0:
                 found.add((node, 1))
                 found.update((child, 1) for child in self.children[node].values())
+                found.update((self.children[child][letter], other) for other, child in self.children[node].items() if other != letter and letter in self.children[child])
         self.moves[state][letter] = self._state(found)
         return self.moves[state][letter]
 
     def find(self, word: bytes) -> tuple[str, int] | None:
-        """The term that the word is (0 edits) or misspells (1), if any."""
+        """The term that the word is (0) or misspells (1), if any."""
         if word in self.memo:
             return self.memo[word]
         if len(self.memo) > 300_000 or len(self.states) > 50_000:
@@ -117,7 +125,7 @@ class Matcher:
         found = None
         if state >= 0:
             ends = [(edits, -self.weights[self.term[node]], self.term[node]) for node, edits in self.states[state]
-                    if self.term[node] and (edits == 0 or len(self.term[node]) >= FUZZY_LETTERS <= len(letters))]
+                    if self.term[node] and not isinstance(edits, str) and (edits == 0 or len(self.term[node]) >= (FUZZY_LETTERS, SWAP_LETTERS)[edits - 1] and len(letters) >= FUZZY_LETTERS)]
             if letters in self.weights:
                 found = (letters, 0)
             elif ends and letters not in self.exceptions:
@@ -148,11 +156,20 @@ class Matcher:
                     weight, quoted = self.weights[found[0]], mark or depth > 0 or at - reported <= REPORTED
                     sums[1 if quoted else 2 if found[1] else 0] += weight
                     places.append((at, weight * (0.3 if quoted else 0.6 if found[1] else 1.0)))
-        dense = max((sum(w for p, w in places[k:] if p - start <= 2 * WINDOW) for k, (start, _) in enumerate(places[:200])), default=0.0)
+        dense = _densest(places)
         plain = sum(w for _, w in places)
         return [np.log1p(sums[0]), np.log1p(sums[1]), np.log1p(sums[2]), float(np.log1p(dense)), float(np.log1p(len({t for t, _ in hits.values()}))), plain / sqrt(len(words) + 10.0)]
 
 
+def _densest(places: list[tuple[int, float]]) -> float:
+    """The greatest sum of weights within a window, of all windows that begin with a hit; places ascend."""
+    if not places:
+        return 0.0
+    at = np.array([p for p, _ in places])
+    sums = np.concatenate([[0.0], np.cumsum([w for _, w in places])])
+    return float((sums[np.searchsorted(at, at + 2 * WINDOW, "right")] - sums[:-1]).max())
+
+
 def _quotes(text: bytes) -> str:
     """Lower-cased text with typographic quotation marks as two private tokens of their own."""
     lower = text.decode().lower().replace("\u0080", " ").replace("\u0081", " ")

@@ -98,6 +98,26 @@ def test_automaton_equals_edit_distance():
         assert (found is not None) == expected, word
 
 
+def test_swapped_letters_of_longer_terms():
+    terms = {"stupid": 1.0, "asshole": 1.0, "worthless": 1.0, "idiot": 1.0}
+    matcher = toxicity.Matcher(terms, frozenset(["worhtless"]))
+    for term in terms:
+        swapped = {term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)} - {term, "worhtless"}
+        for word in swapped:
+            close = any(a[:i] + a[i + 1 :] == b for a, b in ((word, term), (term, word)) for i in range(len(a)))
+            assert matcher.find(word.encode()) == ((term, 1) if len(term) >= 6 or close else None), word
+    assert all(matcher.find(w) is None for w in (b"worhtless", b"tsupdi", b"sutpdi", b"stupdix", b"stupd1", b"dtupis"))
+
+
+def test_densest_window_of_all_hits():
+    chance = random.Random(3)
+    matcher = toxicity.Matcher({"idiot": 2.0, "stupid": 1.0, "weakly": 0.1})
+    words = [w for _ in range(400) for w in ["weakly", *["fine"] * chance.randrange(40)]] + ["you"] + ["idiot", "stupid", "idiot"] * 3 + ["fine"] * 50
+    weights = [(k, matcher.weights[w]) for k, w in enumerate(words) if w in matcher.weights]
+    expected = max(sum(w for p, w in weights if start <= p <= start + 2 * toxicity.WINDOW) for start, _ in weights)
+    assert expected > 10 and math.isclose(matcher.features(" ".join(words).encode())[3], math.log1p(expected), rel_tol=1e-9)
+
+
 def test_quoted_hits_weigh_less():
     matcher = toxicity.Matcher({"idiot": 2.0})
     plain, quoted, said = (matcher.features(t.encode()) for t in ("you idiot", 'they wrote "you idiot" there', "and then she said you idiot"))
