@@ -72,7 +72,7 @@ def repeated_lines(text: bytes) -> int:
 
 def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     """The base measures and the strain of every text."""
-    names = [part.split()[0] for part in MEASURES.split(", ")]
+    names = [part.split()[0] for part in MEASURES.split(", ")] + ["copy"]
     kinds = pa.schema([(n, pa.string() if n == "stratum" else pa.float64() if n == "strain" else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +89,9 @@ def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
                           "lines": dup_lines / max(text.count(b"\n") + 1, 1), "stutter": float((hashes[1:] == hashes[:-1]).sum()) / max(n, 1)}
                 rows.append((n, chars, symbols, dup_lines, repeated_words(hashes), max(ratios[k] / top for k, top in REFERENCE.items())))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, t.type) for x, t in zip(columns, list(kinds)[2:], strict=True))], schema=kinds)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, t.type) for x, t in zip(columns, list(kinds)[2:-1], strict=True)), part.column(3)], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(stratum).cast("string").alias("stratum"), F.col("text").cast("binary")).mapInArrow(run, MEASURES)
+    return docs.select(F.col("doc_id").cast("long"), F.col(stratum).cast("string").alias("stratum"), F.col("text").cast("binary"), F.xxhash64("text").alias("copy")).mapInArrow(run, MEASURES + ", copy long")
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -133,18 +133,20 @@ def _base_failed():
     return (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > REPEAT_PERCENT * c("n_words"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Every document's measures, `base_failed`, the strain, its stratum's cutoff (null: none) and `kept`."""
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA, copies: bool = False) -> DataFrame:
+    """Every document's measures (with `copies`, a hash of its text too), `base_failed`, the strain, its stratum's cutoff (null: none) and `kept`."""
     c = F.col
     measures = cut(measured(docs, stratum))
     limits = cutoffs(measures, labels, risk, delta).withColumnRenamed("stratum", "stratum_")
     rows = measures.join(limits, c("stratum").eqNullSafe(c("stratum_")), "left").withColumn("base_failed", _base_failed())
     return rows.withColumn("kept", ~c("base_failed") & (c("cutoff").isNull() | (c("strain") <= c("cutoff")))).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "strain", "cutoff")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "strain", "cutoff", *(["copy"] if copies else []))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns. Rows whose id is null can't be judged apart, and stay."""
-    verdict = judged(docs, labels, stratum)
-    kept = verdict.filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """The rows of `docs` that are kept, with all their columns: each text of a repeated id by its own verdict. Rows whose id is null stay."""
+    c = F.col
+    # the verdict of a text is that of its measures; ids are looked up in `labels`, so texts of an id are told apart by a hash beside it
+    verdict = judged(docs, labels, stratum, copies=True).filter("kept and doc_id is not null").select(c("doc_id").alias("id_"), c("copy").alias("copy_"), c("stratum").alias("stratum_")).distinct()
+    same = (docs["doc_id"].cast("long") == c("id_")) & (F.xxhash64(docs["text"]) == c("copy_")) & docs[stratum].cast("string").eqNullSafe(c("stratum_"))
+    return docs.join(verdict, same, "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
