@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefit.llm.base import documents, table
+from sitefit.llm.oracles import ORACLES as ORACLES
 
 
 def tokenizer_path() -> str:
@@ -93,5 +94,26 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rates(documents(spark, folder), domain_labels(spark, folder), power=0.8, most=1.0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_mixing, op4_licenses, op5_toxicity, op6_packing, op7_knn_quality, op8_multiset_hash, op9_quality_rules, op10_katz)}
-ORACLES: dict[str, str] = {}
+def op11_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best inner products of every 50th vector, from vector-approximation files."""
+    from sitefit.llm.exact_topk import top_k
+
+    return top_k(table(spark, folder, "embeddings"), k=5, scale=256, every=50)
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes and errors of all vectors under four fitted codebooks."""
+    from sitefit.llm.vector_codes import codes
+
+    return codes(table(spark, folder, "embeddings"), scale=1024)
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language's best-scoring phrases over all texts."""
+    from sitefit.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"), longest=5, least=100, top=2000)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_secret_scan, op3_mixing, op4_licenses, op5_toxicity, op6_packing, op7_knn_quality, op8_multiset_hash, op9_quality_rules, op10_katz,
+                                                                                          op11_exact_topk, op12_vector_codes, op13_collocations)}
