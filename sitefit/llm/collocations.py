@@ -8,7 +8,7 @@ words; these four words are all that a phrase may still need, so each occurrence
 
 Counting goes by length. A phrase can only reach the least count if both its parts of one word less do, so a pass counts only
 those; which ones do is told by a bitmap of fixed size (a false hit costs work, no result). A pass sends 64-bit hashes with counts,
-packed by shard; the last pass counts the survivors once more by their words. No pass knows a cap on phrases, texts or chunks.
+packed by shard; the last pass counts the survivors once more by their words, packed in the same way. No pass knows a cap on phrases, texts or chunks.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ _NEXT, _JOIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
 _PARSE = pa.schema([("lang", pa.string()), ("last", pa.bool_()), ("chunk", pa.binary()), ("words", pa.int64())])
 _PACKED = pa.schema([("shard", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _PHRASES = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("size", pa.int32()), ("f", pa.int64())])
+_LISTS = pa.schema([("shard", pa.int32()), *[(f.name, pa.list_(f.type)) for f in _PHRASES]])
 
 
 class Parser:
@@ -199,14 +201,21 @@ def _frequent(dictionary: DataFrame, size: int, least: int, bits: np.ndarray | N
     return dictionary.mapInArrow(counted, "shard int, hashes binary, counts binary").groupBy("shard").applyInArrow(merged, "id long")
 
 
-def _phrases(dictionary: DataFrame, bits: list[np.ndarray]) -> DataFrame:
-    """Phrases whose hashes the bitmaps know, with their counts in a task: lang, phrase, size, f."""
+def _phrases(dictionary: DataFrame, bits: list[np.ndarray], least: int, shards: int) -> DataFrame:
+    """Phrases whose hashes the bitmaps know and that, told apart by their words, occur at least `least` times: lang, phrase, size, f."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases, held = _Phrases(), {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held.values(), strict=True), _PHRASES, strict=True)], schema=_PHRASES)
+            """What is held, a row of lists by shard."""
+            shard = np.array([h % shards for _, h in held])
+            order = np.argsort(shard, kind="stable")
+            heads = np.flatnonzero(np.diff(shard[order], prepend=-1))
+            offsets = pa.array(np.append(heads, len(order)), pa.int32())
+            flat = pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held.values(), strict=True), _PHRASES, strict=True)], schema=_PHRASES).take(pa.array(order)).combine_chunks()
+            lists = [pa.ListArray.from_arrays(offsets, c.chunk(0)) for c in flat.columns]
+            return pa.RecordBatch.from_arrays([pa.array(shard[order][heads], pa.int32()), *lists], schema=_LISTS)
 
         for batch in batches:
             langs = batch.column(0).to_pylist()
@@ -236,7 +245,13 @@ def _phrases(dictionary: DataFrame, bits: list[np.ndarray]) -> DataFrame:
         if held:
             yield out()
 
-    return dictionary.mapInArrow(found, "lang string, phrase binary, size int, f long")
+    def merged(table: pa.Table) -> pa.Table:
+        flat = pa.table([table[f.name].combine_chunks().flatten() for f in _PHRASES], schema=_PHRASES)
+        sums = flat.group_by(["lang", "phrase", "size"]).aggregate([("f", "sum")]).rename_columns(_PHRASES.names)
+        return sums.filter(pc.field("f") >= least)
+
+    lists = "shard int, lang array<string>, phrase array<binary>, size array<int>, f array<long>"
+    return dictionary.mapInArrow(found, lists).groupBy("shard").applyInArrow(merged, "lang string, phrase binary, size int, f long")
 
 
 def frequent_phrases(docs: DataFrame, longest: int = TRIGGER + 1, least: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -255,7 +270,7 @@ def frequent_phrases(docs: DataFrame, longest: int = TRIGGER + 1, least: int = 1
         bits.append(id_bitmap(_frequent(read, size, least, bits[-1] if bits else None, shards)))
         if not bits[-1].any():
             break
-    exact = _phrases(read, bits).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    exact = _phrases(read, bits, least, shards)
     return cut(exact.select("lang", F.col("phrase").cast("string").alias("phrase"), "size", "f")), totals
 
 
