@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("q_rules", "q_spatial", "q_compliance", "q_scalars", "q_plans", "q_area", "q_scoring", "q_text", "q_edits", "q_ingest", "q_clean", "q_planting")
+SECTIONS = ("q_rules", "q_spatial", "q_compliance", "q_scalars", "q_plans", "q_area", "q_scoring", "q_text", "q_edits", "q_ingest", "q_clean", "q_planar", "q_planting")
 
 
 def load():

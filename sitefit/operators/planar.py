@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sitefit.operators.buckets import SITE, inside, to_cells
 from sitefit.operators.lists import ranked_lists, running
-from sitefit.session import cut
+from sitefit.session import stored
 
 #: Parts of a grid unit to which crossings are rounded.
 FINE = 100
@@ -44,7 +44,7 @@ def noded(lines: DataFrame, grid: float, size: float = 16.0) -> DataFrame:
     snap = lambda n: F.floor(c(n) / grid + 0.5).cast("long")
     p, q = F.struct(snap("x1").alias("x"), snap("y1").alias("y")), F.struct(snap("x2").alias("x"), snap("y2").alias("y"))
     own = lines.filter(c("x1").isNotNull() & c("y1").isNotNull() & c("x2").isNotNull() & c("y2").isNotNull())
-    segments = cut(own.select(SITE, TYPE, F.least(p, q).alias("p"), F.greatest(p, q).alias("q")).filter(c("p") != c("q")).distinct())
+    segments = stored(own.select(SITE, TYPE, F.least(p, q).alias("p"), F.greatest(p, q).alias("q")).filter(c("p") != c("q")).distinct())
     metre = lambda n: (c(n) * F.lit(grid)).alias
     cells = to_cells(segments.select(SITE, TYPE, "p", "q", metre("p.x")("x1"), metre("p.y")("y1"), metre("q.x")("x2"), metre("q.y")("y2")), size, 0.0)
     left = cells.select(SITE, TYPE, "cx", "cy", "p", "q")
@@ -90,7 +90,7 @@ def noded(lines: DataFrame, grid: float, size: float = 16.0) -> DataFrame:
 def half_edges(pieces: DataFrame) -> DataFrame:
     """Both directions of every piece; ``id`` is even from the lesser end, the twin's differs in the last bit."""
     c = F.col
-    rows = cut(pieces.select(SITE, TYPE, *NODE, F.monotonically_increasing_id().alias("e")))
+    rows = stored(pieces.select(SITE, TYPE, *NODE, F.monotonically_increasing_id().alias("e")))
     there, back = (c("e") * 2).alias("id"), (c("e") * 2 + 1).alias("id")
     turned = [c(a).alias(b) for a, b in zip(("x2", "y2", "x1", "y1"), NODE, strict=True)]
     return rows.select(SITE, TYPE, there, *NODE).unionByName(rows.select(SITE, TYPE, back, *turned))
@@ -102,7 +102,7 @@ def traced(halves: DataFrame) -> DataFrame:
     at = W.partitionBy(SITE, TYPE, "x1", "y1")
     order = [F.atan2((c("y2") - c("y1")).cast("double"), (c("x2") - c("x1")).cast("double")), c("id")]
     round_ = F.coalesce(F.lead("id").over(at.orderBy(*order)), F.first("id").over(at.orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    linked = cut(halves.withColumn("prev", round_.bitwiseXOR(F.lit(1).cast("long"))))
+    linked = stored(halves.withColumn("prev", round_.bitwiseXOR(F.lit(1).cast("long"))))
     return linked.drop("prev").join(ranked_lists(linked.select(SITE, "id", "prev")), [SITE, "id"])
 
 
@@ -121,19 +121,19 @@ def planar_map(lines: DataFrame, grid: float) -> Map:
     """
     c = F.col
     scale = FINE / grid
-    faces = cut(traced(half_edges(noded(lines, grid))))
+    faces = stored(traced(half_edges(noded(lines, grid))))
     by_piece = faces.groupBy(SITE, TYPE, F.shiftright("id", 1).alias("e")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
     loose = by_piece.filter(c("low") == c("high")).select(SITE, "e")
     marked = faces.withColumn("e", F.shiftright("id", 1)).join(loose.withColumn("loose", F.lit(True)), [SITE, "e"], "left").withColumn("loose", c("loose").isNotNull())
-    marked = cut(running(marked, [SITE, "label"], F.when(c("loose"), 0).otherwise(1), "before"))
+    marked = stored(running(marked, [SITE, "label"], F.when(c("loose"), 0).otherwise(1), "before"))
     total = marked.filter(~c("loose")).groupBy(SITE, "label").agg(F.count(F.lit(1)).alias("total"))
     sides = marked.filter("loose").groupBy(SITE, TYPE, "label", "e").agg(F.min("before").alias("b0"), F.max("before").alias("b1"), *[F.min(F.when(c("id") % 2 == 0, c(n))).alias(n) for n in NODE])
     between = c("b1") - c("b0")
     dangles = (between == 0) | (between == F.coalesce("total", F.lit(0)))
     leftovers = sides.join(total, [SITE, "label"], "left").select(SITE, TYPE, F.when(dangles, "dangle").otherwise("cut").alias("kind"), *NODE)
 
-    rings = cut(traced(marked.filter(~c("loose")).select(SITE, TYPE, "id", *NODE)))
-    areas = cut(doubled_area(rings))
+    rings = stored(traced(marked.filter(~c("loose")).select(SITE, TYPE, "id", *NODE)))
+    areas = stored(doubled_area(rings))
     shells, outer = areas.filter("area2 > 0"), areas.filter("area2 < 0")
     top = rings.join(outer, [SITE, TYPE, "label"]).groupBy(SITE, TYPE, "label").agg(F.max(F.struct("x1", "y1")).alias("at"))
     metres = lambda n: c(n) / F.lit(scale)
@@ -143,7 +143,7 @@ def planar_map(lines: DataFrame, grid: float) -> Map:
     parents = holder.groupBy(SITE, TYPE, c("hole").alias("label")).agg(F.min(F.struct("area2", "gid")).alias("best")).select(SITE, TYPE, "label", c("best.gid").alias("shell"))
     owner = shells.select(SITE, TYPE, "label", c("label").alias("shell")).unionByName(parents)
     out = rings.join(owner, [SITE, TYPE, "label"]).select(SITE, TYPE, "shell", c("label").alias("ring"), c("pos").alias("seq"), *NODE)
-    return Map(cut(out), cut(leftovers), scale)
+    return Map(stored(out), stored(leftovers), scale)
 
 
 def polygons(found: Map) -> DataFrame:

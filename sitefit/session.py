@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,22 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def new_table(spark: SparkSession) -> str:
+    """A path in the shared folder that no other table has."""
+    return f"{scratch_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows as a table in the shared folder, read back: like `cut`, but computed once and with sizes the planner can see."""
+    spark = df.sparkSession
+    path = path or new_table(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing will read again from the shared folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
