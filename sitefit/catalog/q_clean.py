@@ -8,6 +8,7 @@ from sitefit.catalog import q_scalars  # noqa: F401
 from sitefit.catalog.q_spatial import meet_sql
 from sitefit.catalog.registry import query
 from sitefit.catalog.sqlkit import cross, cte, dist, seg, sql
+from sitefit.operators import chains as ch
 from sitefit.operators import clean as cl
 from sitefit.operators import measures as me
 from sitefit.operators import territory as te
@@ -59,30 +60,52 @@ def dash_matching(t):
     return _matched(t)[1]
 
 
+# dashes of two edges each, every seventh drawn twice, every fifth backwards
+BROKEN = """SELECT site_id, object_type, k AS gid, 'line' AS geom_kind, s AS seq, CASE WHEN back THEN CASE s WHEN 0 THEN x2 ELSE mx END ELSE CASE s WHEN 0 THEN x1 ELSE mx END END AS x1,
+    CASE WHEN back THEN CASE s WHEN 0 THEN y2 ELSE my END ELSE CASE s WHEN 0 THEN y1 ELSE my END END AS y1, CASE WHEN back THEN CASE s WHEN 0 THEN mx ELSE x1 END ELSE CASE s WHEN 0 THEN mx ELSE x2 END END AS x2,
+    CASE WHEN back THEN CASE s WHEN 0 THEN my ELSE y1 END ELSE CASE s WHEN 0 THEN my ELSE y2 END END AS y2
+  FROM (SELECT site_id, object_type, gid + 1000000000000 * d AS k, (gid + d) % 5 = 0 AS back, x1, y1, x2, y2, (x1 + x2) / 2e0 AS mx, (y1 + y2) / 2e0 AS my FROM {dashes}, (SELECT 0 AS d UNION ALL SELECT 1) c WHERE d = 0 OR gid % 7 = 0) a, (SELECT 0 AS s UNION ALL SELECT 1) b"""
+
+
+def _broken(t):
+    return t.spark.sql(BROKEN, dashes=_dashes(t))
+
+
 @query("merge_dashes")
 def merge_dashes(t):
-    """Dashes joined into runs (rows only; tested on a fixture)."""
-    lines, matched = _matched(t)
-    return cl.merge_chains(lines, matched)
+    """Dashes joined into runs as ordered edges with bridges (rows only; tested against a sequential walk)."""
+    return ch.merge_dashes(_broken(t))
 
 
-TOUCH = """SELECT o_orderkey {div} 600 AS site_id, 'net' AS object_type, o_orderkey AS gid, (o_orderkey % 600) * 1e0 AS x1, ((o_orderkey % 600) {div} 7) * 1e0 AS y1,
-  (o_orderkey % 600 + 1) * 1e0 AS x2, ((o_orderkey % 600 + 1) {div} 7) * 1e0 AS y2 FROM {orders} WHERE true"""
+# even sites: a path with every 50th step missing; odd sites: squares, every third without its last side; some lines backwards
+TOUCH = """SELECT site_id, 'net' AS object_type, gid, 'line' AS geom_kind, 0 AS seq, CASE WHEN back THEN q1 ELSE p1 END AS x1, CASE WHEN back THEN q2 ELSE p2 END AS y1, CASE WHEN back THEN p1 ELSE q1 END AS x2, CASE WHEN back THEN p2 ELSE q2 END AS y2 FROM (
+  SELECT site_id, gid, back, CASE WHEN odd THEN bx + CASE WHEN side = 1 OR side = 2 THEN 3e0 ELSE 0e0 END ELSE i * 1e0 END AS p1, CASE WHEN odd THEN bx + CASE WHEN side = 2 OR side = 3 THEN 3e0 ELSE 0e0 END ELSE (i {div} 7) * 1e0 END AS p2,
+    CASE WHEN odd THEN bx + CASE WHEN side = 0 OR side = 1 THEN 3e0 ELSE 0e0 END ELSE i + 1e0 END AS q1, CASE WHEN odd THEN bx + CASE WHEN side = 1 OR side = 2 THEN 3e0 ELSE 0e0 END ELSE ((i + 1) {div} 7) * 1e0 END AS q2
+  FROM (SELECT k {div} 600 AS site_id, k AS gid, k % 3 = 0 AS back, k {div} 600 % 2 = 1 AS odd, k % 4 AS side, k % 600 AS i, (k {div} 4 % 150) * 5e0 AS bx FROM (SELECT o_orderkey AS k FROM {orders}) o) a
+  WHERE CASE WHEN odd THEN NOT (side = 3 AND gid {div} 4 % 3 = 0) ELSE gid % 50 <> 0 END) b"""
 cte("touching", TOUCH.format(div="//", orders="orders"))
-
-
-@query("touch_merge", sql("""SELECT site_id, object_type, min(e) AS a, max(e) AS b FROM (SELECT site_id, object_type, gid * 2 AS e, x1 AS x, y1 AS y FROM touching UNION ALL SELECT site_id, object_type, gid * 2 + 1, x2, y2 FROM touching) q
-  GROUP BY site_id, object_type, x, y HAVING count(*) = 2 AND min(e) // 2 <> max(e) // 2"""))
+cte("touch_ends", "SELECT site_id, gid, gid * 2 AS e, x1 AS x, y1 AS y FROM touching UNION ALL SELECT site_id, gid, gid * 2 + 1, x2, y2 FROM touching")
+cte("touch_pairs", "SELECT site_id, min(e) AS a, max(e) AS b FROM touch_ends GROUP BY site_id, x, y HAVING count(*) = 2 AND min(e) // 2 <> max(e) // 2")
+cte("touch_ways", "SELECT e.site_id, e.e AS id, coalesce(p.b, q.a) AS prev FROM touch_ends e LEFT JOIN touch_pairs p ON p.site_id = e.site_id AND p.a = xor(e.e, 1) LEFT JOIN touch_pairs q ON q.site_id = e.site_id AND q.b = xor(e.e, 1)")
+cte("touch_walk", "SELECT id AS start, id AS cur, prev, 0 AS n FROM touch_ways UNION ALL SELECT w.start, u.id, u.prev, n + 1 FROM touch_walk w JOIN touch_ways u ON u.id = w.prev WHERE u.id <> w.start")
+cte("touch_place", """SELECT start AS id, closed, label, arg_min(n, abs(cur - label)) AS pos FROM (SELECT *, CASE WHEN closed THEN min(cur) OVER s ELSE last_value(cur) OVER (PARTITION BY start ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS label
+    FROM (SELECT *, count(*) FILTER (prev IS NULL) OVER (PARTITION BY start) = 0 AS closed FROM touch_walk) a WINDOW s AS (PARTITION BY start)) b GROUP BY ALL""")
+cte("touch_lists", "SELECT label, closed, arg_max(id, pos) AS tail, min(id // 2) AS chain FROM touch_place GROUP BY ALL")
+
+
+@query("touch_merge", sql("""SELECT t.site_id, t.object_type, l.chain AS gid, CAST(p.pos AS BIGINT) AS seq, CASE WHEN p.id % 2 = 1 THEN x1 ELSE x2 END AS x1, CASE WHEN p.id % 2 = 1 THEN y1 ELSE y2 END AS y1,
+    CASE WHEN p.id % 2 = 1 THEN x2 ELSE x1 END AS x2, CASE WHEN p.id % 2 = 1 THEN y2 ELSE y1 END AS y2, FALSE AS bridge
+  FROM touch_place p JOIN touch_lists l USING (label) JOIN touching t ON t.gid = p.id // 2
+  WHERE CASE WHEN l.closed THEN label % 2 = 1 ELSE label // 2 < tail // 2 OR (label // 2 = tail // 2 AND label % 2 = 1) END""", "nothing_ AS (SELECT 1)"))
 def touch_merge(t):
-    """Line ends that meet at a node of degree two."""
-    return cl.touch_nodes(t.spark.sql(TOUCH.format(div="div", orders="{orders}"), orders=t.orders))
+    """Lines joined where exactly two ends meet, as ordered edges."""
+    return ch.touch_merge(t.spark.sql(TOUCH.format(div="div", orders="{orders}"), orders=t.orders))
 
 
 @query("stitch_by_type")
 def stitch_by_type(t):
-    """Runs stitched per utility type (rows only)."""
-    lines, matched = _matched(t)
-    return cl.merge_chains(lines, matched).groupBy("site_id", "object_type").agg(F.count(F.lit(1)).alias("runs"), F.sum("parts").alias("parts"), F.sum("um").alias("um"))
+    """Utility lines stitched per type beside what is no line (rows only; tested on a fixture)."""
+    return ch.stitch_by_type(_broken(t).unionByName(t.edges.filter("geom_kind <> 'line'").select("site_id", "object_type", "gid", "geom_kind", F.col("seq").cast("int").alias("seq"), "x1", "y1", "x2", "y2")))
 
 
 # a shifted drawing with junk on the origin at every third site
