@@ -8,7 +8,7 @@ from sitefit import fixed as fx
 from sitefit.catalog import q_compliance, q_scalars  # noqa: F401
 from sitefit.catalog.q_rules import resolve_sql
 from sitefit.catalog.registry import query
-from sitefit.catalog.sqlkit import cross, cte, dist, lit, seg, sql
+from sitefit.catalog.sqlkit import cross, cte, cte_over, dist, lit, seg, sql
 from sitefit.operators import compliance as co
 from sitefit.plans import edits as ed
 from sitefit.plans import fixes as fi
@@ -160,37 +160,37 @@ def allowed_window(t):
     return spots.groupBy("site_id", "item_id").agg(F.count(F.lit(1)).alias("spots"), F.max("d2").alias("farthest"))
 
 
-@query("stream_edits", sql(FOLD))
-def stream_edits(t):
-    """The edit log as a stream; after draining, the plan state equals the batch fold."""
+def _edit_stream(t):
     from sitefit.sources.bindings import SPARK, edits
 
     events = live.event_stream(t.spark, t.folder, "events")
-    bound = t.spark.sql(edits(SPARK).replace("from events", "from {events}"), events=events)
-    path = live.new_folder(t.spark, "edit-log")
-    live.keep_edits(bound, path)
-    return live.plan_state(t.spark, path, t.items)
+    return live.item_states(t.spark.sql(edits(SPARK).replace("from events", "from {events}"), events=events), t.items)
 
 
-@query("stream_revalidate", sql("""SELECT s.site_id, s.item_id, coalesce(a.n, 0)::BIGINT AS setback_violations, coalesce(b.n, 0)::BIGINT AS spacing_violations FROM scope_rows s
-  LEFT JOIN (SELECT site_id, item_id, count(*) AS n FROM setback_rows JOIN touched USING (site_id, item_id) WHERE NOT satisfied GROUP BY ALL) a USING (site_id, item_id)
-  LEFT JOIN (SELECT site_id, item_id, count(*) AS n FROM neighbour_rows WHERE NOT satisfied GROUP BY ALL) b USING (site_id, item_id)"""))
-def stream_revalidate(t):
-    """Dirty items of each micro-batch are re-checked against the static site tables."""
-    from sitefit.sources.bindings import SPARK, edits
+@query("stream_edits", sql(FOLD))
+def stream_edits(t):
+    """The edit log as a stream with keyed state; after draining, the plan state equals the batch fold."""
+    path = live.new_folder(t.spark, "edit-states")
+    live.keep_states(_edit_stream(t), path)
+    return live.plan_state(t.spark, path, t.items)
 
-    events = live.event_stream(t.spark, t.folder, "events")
-    bound = t.spark.sql(edits(SPARK).replace("from events", "from {events}"), events=events)
-    path = live.new_folder(t.spark, "verdicts")
 
-    def sink(batch, number):
-        touched = t.items.join(batch.select("item_id").distinct(), "item_id", "left_semi")
-        co.revalidate(t.items, touched, t.edges).write.mode("overwrite").parquet(f"{path}/batch={number}")
+cte("folded_items", FOLD)
+cte("edited", "SELECT i.* REPLACE (f.planting_type AS planting_type, f.species AS species, f.x AS x, f.y AS y, f.is_manual_edit AS is_manual_edit) FROM items i JOIN folded_items f USING (site_id, item_id) WHERE f.alive")
+_E = cte_over(("setback_rows", "neighbour_rows", "trees"), "items", "edited", "edited")
+cte("edited_scope", f"""SELECT site_id, item_id FROM edited JOIN touched USING (site_id, item_id) UNION
+  SELECT a.site_id, a.item_id FROM {_E['trees']} a JOIN (SELECT * FROM trees UNION ALL SELECT * FROM {_E['trees']}) b ON a.site_id = b.site_id AND {dist('a.x', 'a.y', 'b.x', 'b.y')} <= 8e0
+    JOIN touched t ON t.site_id = b.site_id AND t.item_id = b.item_id""")
 
-    live.drain(bound, sink)
-    rows = t.spark.read.parquet(path)
-    latest = rows.groupBy("site_id", "item_id").agg(F.max_by(F.struct("setback_violations", "spacing_violations"), "batch").alias("v"))
-    return latest.select("site_id", "item_id", "v.setback_violations", "v.spacing_violations")
+
+@query("stream_revalidate", sql(f"""SELECT s.site_id, s.item_id, coalesce(a.n, 0)::BIGINT AS setback_violations, coalesce(b.n, 0)::BIGINT AS spacing_violations FROM edited_scope s
+  LEFT JOIN (SELECT site_id, item_id, count(*) AS n FROM {_E['setback_rows']} JOIN touched USING (site_id, item_id) WHERE NOT satisfied GROUP BY ALL) a USING (site_id, item_id)
+  LEFT JOIN (SELECT site_id, item_id, count(*) AS n FROM {_E['neighbour_rows']} WHERE NOT satisfied GROUP BY ALL) b USING (site_id, item_id)"""))
+def stream_revalidate(t):
+    """Items of each micro-batch re-checked in the plan as edited so far, with the trees around their old and new places."""
+    path = live.new_folder(t.spark, "verdicts")
+    live.keep_verdicts(_edit_stream(t), t.items, t.edges, path)
+    return live.open_verdicts(t.spark, path)
 
 
 @query("stream_progress", sql("SELECT user_id % 10 AS plan_key, event_type, count(*)::BIGINT AS count FROM events GROUP BY ALL"))

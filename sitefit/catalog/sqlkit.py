@@ -65,6 +65,28 @@ def sql(body: str, recursive: str = "") -> str:
     return f"{head}\n{body}"
 
 
+def cte_over(names: tuple[str, ...], old: str, new: str, mark: str) -> dict[str, str]:
+    """Copies of CTEs that read ``new`` where the originals read ``old``, directly or through others; original name -> copy."""
+    copies: dict[str, str] = {}
+
+    def reads(name: str) -> bool:
+        return any(w == old or (w in CTES and w != name and reads(w)) for w in set(re.findall(r"[a-z_][a-z0-9_]*", CTES[name])))
+
+    def copy(name: str) -> str:
+        if name == old:
+            return new
+        if name not in CTES or not reads(name):
+            return name
+        if name not in copies:
+            copies[name] = f"{name}_{mark}"
+            cte(copies[name], re.sub(r"[a-z_][a-z0-9_]*", lambda m: copy(m[0]) if m[0] != name else m[0], CTES[name]))
+        return copies[name]
+
+    for name in names:
+        copy(name)
+    return copies
+
+
 # --- arithmetic shared by many checks --------------------------------------------------------
 def dist(ax, ay, bx, by) -> str:
     return f"sqrt((({ax}) - ({bx})) * (({ax}) - ({bx})) + (({ay}) - ({by})) * (({ay}) - ({by})))"

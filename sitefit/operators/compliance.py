@@ -48,11 +48,15 @@ def crown_word(column: str):
     return F.coalesce(*[F.when(F.col(column) == k, v) for k, v in fx.CROWN_LABELS], F.lit("—"))
 
 
-def neighbour_checks(items: DataFrame) -> DataFrame:
-    """Trees only: distance to the nearest other tree against the larger of the two crown intervals."""
+def neighbour_checks(items: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """Trees only: distance to the nearest other tree against the larger of the two crown intervals.
+
+    With ``scope`` (site, item) only those trees are measured, against all others.
+    """
     spark = items.sparkSession
     trees = items.filter(F.col("planting_type") == "tree").select(SITE, "item_id", "x", "y", "species")
-    found = nearest(trees, as_edges(trees.withColumn("kind", F.lit("tree")), F.col("item_id").alias("other_id"), "kind"),
+    asked = trees if scope is None else trees.join(scope.select(SITE, "item_id"), [SITE, "item_id"], "left_semi")
+    found = nearest(asked, as_edges(trees.withColumn("kind", F.lit("tree")), F.col("item_id").alias("other_id"), "kind"),
                     "item_id", "kind", near=12.0, target="other_id")
     spans = dims.species_interval(spark)
     source = next(r for r in fx.SOURCES if r[0] == "mgsn_1_02_02_4_2_9_2")
@@ -225,19 +229,23 @@ def violation_marks(items: DataFrame, mask: DataFrame) -> DataFrame:
             .select(SITE, "item_id", "x", "y", F.when(c("planting_type") == "lawn", c("side_c") / F.lit(200.0)).otherwise(radius).alias("radius_m")))
 
 
-def revalidate(items: DataFrame, touched: DataFrame, edges: DataFrame, reach: float = 8.0) -> DataFrame:
-    """Re-check after edits: setbacks of the touched items, intervals of them and of trees near a touched tree."""
+def revalidate(items: DataFrame, touched: DataFrame, edges: DataFrame, reach: float = 8.0, was: DataFrame | None = None) -> DataFrame:
+    """Re-check after edits: setbacks of the touched items, intervals of them and of trees near a touched tree.
+
+    ``was`` are the touched items as they stood before (moved, retyped or deleted trees free their old neighbours). Only items in
+    that scope are measured.
+    """
     c = F.col
     from sitefit.operators.buckets import as_edges, near_pairs
 
     dirty = items.join(touched.select(SITE, "item_id").distinct(), [SITE, "item_id"], "left_semi")
     trees = items.filter(c("planting_type") == "tree")
     seeds = as_edges(dirty.filter(c("planting_type") == "tree"))
+    if was is not None:
+        seeds = seeds.unionByName(as_edges(was.filter(c("planting_type") == "tree")))
     around = near_pairs(trees.select(SITE, "item_id", "x", "y"), seeds, reach, reach).select(SITE, "item_id").distinct()
     scope = dirty.select(SITE, "item_id").unionByName(around).distinct()
-    setback = setback_checks(dirty, edges)
-    spacing = neighbour_checks(trees).join(scope, [SITE, "item_id"], "left_semi")
-    bad = setback.unionByName(spacing).groupBy(SITE, "item_id").agg(
+    bad = setback_checks(dirty, edges).unionByName(neighbour_checks(items, scope)).groupBy(SITE, "item_id").agg(
         F.sum(((~c("satisfied")) & (c("object_type") != "neighbour_tree")).cast("long")).alias("setback_violations"),
         F.sum(((~c("satisfied")) & (c("object_type") == "neighbour_tree")).cast("long")).alias("spacing_violations"))
     return scope.join(bad, [SITE, "item_id"], "left").fillna(0, ["setback_violations", "spacing_violations"])

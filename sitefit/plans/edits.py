@@ -56,7 +56,13 @@ def edit_fold(edits: DataFrame, items: DataFrame) -> DataFrame:
         F.max_by("new_type", F.when(on("retype"), at)).alias("last_type"), F.max_by("new_species", F.when(on("patch"), at)).alias("last_species"),
         F.max_by("op", F.when(c("ok") & c("op").isin("delete", "restore"), at)).alias("life"),
         F.bool_or(c("ok") & c("op").isin("move", "retype", "patch")).alias("touched"), F.sum(c("ok").cast("long")).alias("edits"))
+    return folded(items, state)
+
+
+def folded(items: DataFrame, state: DataFrame) -> DataFrame:
+    """Items with what their edits add up to (item_id, dxc, dyc, last_type, last_species, life, touched, edits)."""
     rows = items.join(state, "item_id", "left").fillna(0, ["dxc", "dyc", "edits"])
+    c = F.col
     return rows.select(SITE, "item_id", F.coalesce("last_type", "planting_type").alias("planting_type"), F.coalesce("last_species", "species").alias("species"),
                        ((c("xc") + c("dxc")) / F.lit(100.0)).alias("x"), ((c("yc") + c("dyc")) / F.lit(100.0)).alias("y"),
                        (F.coalesce("life", F.lit("restore")) == "restore").alias("alive"),
@@ -188,3 +194,10 @@ def density_stops(items: DataFrame, size: float = 40.0, least: int = 3) -> DataF
                          F.floor(c("sx") / c("n")).cast("long").alias("xc"), F.floor(c("sy") / c("n")).cast("long").alias("yc"), "n")
     return chain_order(stops).join(stops.select(SITE, "item_id", "xc", "yc", "n"), [SITE, "item_id"]).select(
         SITE, c("item_id").alias("cell"), "pos", "xc", "yc", "n")
+
+
+def edited_items(items: DataFrame, state: DataFrame) -> DataFrame:
+    """The plan after its edits, with the columns of ``items``; deleted items are not in it."""
+    now = folded(items, state).filter("alive").select("item_id", "planting_type", "species", "x", "y", "is_manual_edit")
+    kept = [n for n in items.columns if n not in now.columns or n == "item_id"]
+    return items.select(*kept).join(now, "item_id").select(*items.columns)
