@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitefit import fixed as fx
@@ -10,6 +12,8 @@ from sitefit.catalog.q_scalars import SCHEME
 from sitefit.catalog.registry import query
 from sitefit.catalog.sqlkit import cte, lit, rnd, sql
 from sitefit.operators import compliance as co
+from sitefit.session import scratch_folder
+from sitefit.sources import geojson as gj
 from sitefit.sources import ingest as ig
 from sitefit.sources import sinks
 
@@ -21,14 +25,23 @@ UTIL = ", ".join(lit(u) for u in fx.UTILITY_TYPES)
   FROM features f JOIN (SELECT site_id, gid, CASE object_type WHEN 'steam_pipe' THEN 'heat_network' WHEN 'zoning' THEN 'unknown' ELSE object_type END AS object_type FROM features) m USING (site_id, gid)
   JOIN (SELECT site_id, gid, count(*)::BIGINT AS n FROM edges GROUP BY ALL) e USING (site_id, gid)"""))
 def geojson_features(t):
-    """Feature texts parsed back into typed features."""
+    """Feature texts of points, lines and rings parsed back into typed features; ``points`` counts their edges."""
+    keys = ("site_id", "gid")
+    found = gj.typed(gj.from_texts(_feature_texts(t)), "what", {"steam_pipe": "heat_network"})
+    edges = gj.edges_of(found, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("points"))
+    return found.join(edges, list(keys)).select(*keys, "kind", "object_type", "geom_type", "points", F.size("attrs").cast("long").alias("attrs"))
+
+
+def _feature_texts(t):
+    """Every feature as a GeoJSON text with its coordinates nested as its kind wants them."""
     c = F.col
-    at = t.edges.groupBy("site_id", "gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x1", "y1"))), lambda p: F.array(p["x1"], p["y1"])).alias("xy"))
+    at = t.edges.groupBy("site_id", "gid").agg(F.array_sort(F.collect_list(F.struct("seq", "x1", "y1", "x2", "y2"))).alias("e"))
+    way = F.concat(F.transform("e", lambda p: F.array(p["x1"], p["y1"])), F.array(F.array(F.element_at("e", -1)["x2"], F.element_at("e", -1)["y2"])))
+    coordinates = F.when(c("geom_kind") == "point", F.to_json(way[0])).when(c("geom_kind") == "line", F.to_json(way)).otherwise(F.to_json(F.array(way)))
     kind = F.when(c("geom_kind") == "point", "Point").when(c("geom_kind") == "line", "LineString").otherwise("Polygon")
-    props = F.struct(F.when(c("object_type") != "zoning", c("object_type")).alias("what"), c("zoning").alias("category"), F.lit("NaN").alias("height"), c("kind").alias("source"))
-    text = F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(kind.alias("type"), c("xy").alias("coordinates")).alias("geometry")))
-    rows = t.features.join(at, ["site_id", "gid"]).select("site_id", "gid", text.alias("feature"))
-    return ig.parse_features(rows, "what", {"steam_pipe": "heat_network"})
+    props = F.to_json(F.struct(F.when(c("object_type") != "zoning", c("object_type")).alias("what"), c("zoning").alias("category"), F.lit("NaN").alias("height"), c("kind").alias("source")))
+    text = F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}}"))
+    return t.features.join(at, ["site_id", "gid"]).select("site_id", "gid", text.alias("feature"))
 
 
 @query("feature_edges", sql("SELECT site_id, gid, seq, x1, y1, x2, y2 FROM edges WHERE geom_kind = 'polygon'"))
@@ -79,13 +92,19 @@ def hatch_loops(t):
     return ig.hatch_loops(t.spark.sql(LOOPS.format(div="div", t="{supplier}"), supplier=t.supplier))
 
 
-@query("bundle_union", sql("""SELECT x.sheet, coalesce(n, 0)::BIGINT AS entities, CASE WHEN n IS NULL THEN 'lost' ELSE 'read' END AS status FROM (SELECT concat('sheet', r_regionkey * 5 + k) AS sheet FROM region, range(5) q(k)) x
-  LEFT JOIN (SELECT concat('sheet', gid % 23) AS sheet, count(*) AS n FROM features GROUP BY ALL) f USING (sheet)"""))
+@query("bundle_union", sql("""SELECT x.sheet, coalesce(n, 0)::BIGINT AS entities, coalesce(d, 0)::BIGINT AS damaged, CASE WHEN coalesce(n, 0) = 0 THEN 'lost' ELSE 'read' END AS status
+  FROM (SELECT concat('sheet', r_regionkey * 5 + k) AS sheet FROM region, range(5) q(k)) x LEFT JOIN (SELECT concat('sheet', gid % 23) AS sheet, count(*) FILTER (gid % 23 % 6 <> 5 AND gid % 7 <> 3) AS n,
+    count(*) FILTER (gid % 23 % 6 = 5 OR gid % 7 = 3) AS d FROM features GROUP BY ALL) f USING (sheet)"""))
 def bundle_union(t):
-    """Sheets of a bundle read as one, lost ones reported."""
-    sheet = F.concat(F.lit("sheet"), (F.col("gid") % 23).cast("string")).alias("sheet")
+    """Sheets written as files, some of them damaged in whole or in part, read as one; counts by sheet and the lost ones."""
+    number = F.col("gid") % 23
+    torn = (number % 6 == 5) | (F.col("gid") % 7 == 3)
+    text = F.when(torn, F.substring("feature", 1, 40)).otherwise(F.col("feature"))
+    folder = f"{scratch_folder(t.spark)}/bundle-{uuid.uuid4().hex}"
+    _feature_texts(t).select(text.alias("value"), F.concat(F.lit("sheet"), number.cast("string")).alias("sheet")).repartition("sheet").write.partitionBy("sheet").text(folder)
+    report = gj.read_files(t.spark, folder, lines=True)[1].withColumn("sheet", F.regexp_extract("file", "/sheet=([^/]+)/", 1))
     expected = t.region.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(F.concat(F.lit("sheet"), (F.col("r_regionkey") * 5 + F.col("k")).cast("string")).alias("sheet"))
-    return ig.bundle_counts([t.line_features.select(sheet), t.area_features.select(sheet)], expected)
+    return ig.bundle_report(report, expected)
 
 
 @query("pick_base_sheet", sql("""SELECT site_id, CASE WHEN max(n) FILTER (sheet = 'sheet0') >= 8 THEN 'sheet0' ELSE arg_max(sheet, (n, sheet)) END AS sheet

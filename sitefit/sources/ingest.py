@@ -13,23 +13,6 @@ from sitefit.functions.geom import rounded, segments_cross
 from sitefit.operators.buckets import SITE
 from sitefit.session import cut
 
-FEATURE_SCHEMA = ("type string, properties map<string,string>, geometry struct<type:string,coordinates:array<array<double>>>")
-
-
-def parse_features(texts: DataFrame, type_field: str, type_map: dict[str, str]) -> DataFrame:
-    """GeoJSON feature texts to typed features: raw type through the map, utilities apart from zones, empty geometry
-    dropped, NaN and missing properties absent."""
-    c = F.col
-    f = F.from_json("feature", FEATURE_SCHEMA)
-    rows = texts.withColumn("f", f).filter(c("f.geometry").isNotNull() & (F.size("f.geometry.coordinates") > 0))
-    raw = F.coalesce(c("f.properties")[type_field], F.lit("unknown"))
-    mapped = F.create_map(*[F.lit(v) for kv in type_map.items() for v in kv])[raw] if type_map else F.lit(None).cast("string")
-    rows = rows.withColumn("object_type", F.coalesce(mapped, raw))
-    attrs = F.map_filter(c("f.properties"), lambda k, v: (k != type_field) & v.isNotNull() & (v != "NaN"))
-    return rows.select(SITE, "gid", F.when(c("object_type").isin(list(fx.UTILITY_TYPES)), "utility").otherwise("zone").alias("kind"), "object_type",
-                       c("f.geometry.type").alias("geom_type"), F.size("f.geometry.coordinates").cast("long").alias("points"), F.size(attrs).cast("long").alias("attrs"))
-
-
 def to_edges(vertices: DataFrame, closed: bool) -> DataFrame:
     """Vertex rows (site, gid, seq, x, y) to two-point edges; a closed ring returns to its first vertex."""
     w = W.partitionBy(SITE, "gid").orderBy("seq")
@@ -106,14 +89,12 @@ def hatch_loops(loops: DataFrame) -> DataFrame:
     return rows.join(outer, "fill").select("fill", "loop", role.alias("role"))
 
 
-def bundle_counts(parts: list[DataFrame], expected: DataFrame) -> DataFrame:
-    """Many sheets read as one: entities per sheet, and the sheets that gave nothing."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    counts = rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("entities"))
-    out = expected.join(counts, "sheet", "left")
-    return out.select("sheet", F.coalesce("entities", F.lit(0)).alias("entities"), F.when(F.col("entities").isNull(), "lost").otherwise("read").alias("status"))
+def bundle_report(report: DataFrame, expected: DataFrame) -> DataFrame:
+    """Entities and damaged records of every expected sheet; one that gave no entity is lost."""
+    c = F.col
+    sums = report.groupBy("sheet").agg(F.sum("features").alias("entities"), F.sum("damaged").alias("damaged"))
+    rows = expected.join(sums, "sheet", "left").fillna(0, ["entities", "damaged"])
+    return rows.select("sheet", "entities", "damaged", F.when(c("entities") == 0, "lost").otherwise("read").alias("status"))
 
 
 def pick_base_sheet(layers: DataFrame, main: str, least: int = 20) -> DataFrame:
