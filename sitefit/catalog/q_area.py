@@ -10,8 +10,9 @@ from sitefit.catalog.q_rules import resolve_sql
 from sitefit.catalog.registry import query
 from sitefit.catalog.sqlkit import cross, cte, lit, seg, sql
 from sitefit.operators import area as ar
+from sitefit.session import stored
 
-cte("site_frames", """SELECT a.site_id, a.area_m2, b.x0, b.y0, b.xm, b.ym, greatest(0.5e0, sqrt(a.area_m2 / 20000e0)) AS step FROM site_area a
+cte("site_frames", """SELECT a.site_id, a.area_m2, b.x0, b.y0, b.xm, b.ym, 2e0 AS step FROM site_area a
   JOIN (SELECT site_id, min(x1) AS x0, min(y1) AS y0, max(x1) AS xm, max(y1) AS ym FROM outline GROUP BY ALL) b USING (site_id)""")
 cte("all_cells", """SELECT site_id, ix, unnest(range(CAST(ceil((ym - (y0 + step / 2e0)) / step) AS BIGINT))) AS iy, x0, y0, step, area_m2 FROM (
     SELECT *, unnest(range(CAST(ceil((xm - (x0 + step / 2e0)) / step) AS BIGINT))) AS ix FROM site_frames) q""")
@@ -113,11 +114,10 @@ def clearance_field(t):
 
 @query("roomiest_spots")
 def roomiest_spots(t):
-    """Up to twelve roomiest spots per site, each clearing a disc of three intervals."""
-    free = ar.buildable(*_blocked(t))
+    """Roomiest spots of every connected part, each taking a disc of three intervals, until none is left with an interval of room."""
+    free = stored(ar.buildable(*_blocked(t)))
     room = ar.clearance(free, t.edges, "tree", "cell_id")
-    keys = free.select("site_id", "cell_id", F.lit(0).alias("patch_id"))
-    return ar.roomiest(free, room, keys, 15.0)
+    return ar.roomiest(free, room, ar.patch_of(free), 15.0, 2.5)
 
 
 @query("legend_raster", sql("""SELECT site_id, grp, count(DISTINCT (px, py))::BIGINT AS pixels FROM (

@@ -70,16 +70,16 @@ def group_distances(points: str, pid: str) -> str:
         FROM {points} i JOIN g_edges e USING (site_id) GROUP BY ALL) p GROUP BY ALL"""
 
 
-@query("grid_buckets", sql("""
-  SELECT site_id, gid, is_large, cx, unnest(CASE WHEN is_large THEN [NULL::BIGINT] ELSE range(ay, by1 + 1) END) AS cy FROM (
-    SELECT *, unnest(CASE WHEN is_large THEN [NULL::BIGINT] ELSE range(ax, bx + 1) END) AS cx FROM (
-      SELECT *, (bx - ax + 1) * (by1 - ay + 1) > 64 AS is_large FROM (
-        SELECT site_id, gid, CAST(floor(min(least(x1, x2)) / 4e0) AS BIGINT) AS ax, CAST(floor(max(greatest(x1, x2)) / 4e0) AS BIGINT) AS bx,
-          CAST(floor(min(least(y1, y2)) / 4e0) AS BIGINT) AS ay, CAST(floor(max(greatest(y1, y2)) / 4e0) AS BIGINT) AS by1
-        FROM edges GROUP BY ALL) a) b) c"""))
+cte("foot_cells", """SELECT site_id, gid, object_type, cx, unnest(range(ay, by1 + 1)) AS cy FROM (SELECT *, unnest(range(ax, bx + 1)) AS cx FROM (
+    SELECT site_id, gid, any_value(object_type) AS object_type, CAST(floor(min(least(x1, x2)) / 8e0) AS BIGINT) AS ax, CAST(floor(max(greatest(x1, x2)) / 8e0) AS BIGINT) AS bx,
+      CAST(floor(min(least(y1, y2)) / 8e0) AS BIGINT) AS ay, CAST(floor(max(greatest(y1, y2)) / 8e0) AS BIGINT) AS by1 FROM edges GROUP BY site_id, gid) a) b""")
+
+
+@query("grid_buckets", sql("""SELECT site_id, gid, cells, coalesce(neighbours, 0) AS neighbours FROM (SELECT site_id, gid, count(*) AS cells FROM foot_cells GROUP BY ALL) f
+  LEFT JOIN (SELECT a.site_id, a.gid, count(DISTINCT b.gid) AS neighbours FROM foot_cells a JOIN foot_cells b ON a.site_id = b.site_id AND a.cx = b.cx AND a.cy = b.cy AND a.object_type <> b.object_type GROUP BY ALL) n USING (site_id, gid)"""))
 def grid_buckets(t):
-    """Cells of every footprint on a 4 m grid; footprints of more than 64 cells are kept apart."""
-    return px.grid_buckets(t.edges, 4.0)
+    """Footprints on an 8 m grid and the features of other types that they share cells with."""
+    return px.cell_neighbours(t.edges, 8.0)
 
 
 @query("within_distance", sql(f"""

@@ -7,27 +7,30 @@ from pyspark.sql import functions as F
 
 from sitefit.operators.buckets import SITE, inside_site
 
-MAX_SAMPLES = 20_000
-MIN_STEP_M = 0.5
+#: Side of a cell in metres, the same for every site however large.
+STEP_M = 2.0
 
 
-def site_frame(outline: DataFrame, samples: int = MAX_SAMPLES, least: float = MIN_STEP_M) -> DataFrame:
+def site_frame(outline: DataFrame, step: float = STEP_M) -> DataFrame:
     """Area, bounds and grid step of every site; rings other than 0 are holes."""
     c = F.col
     twice = F.sum(c("xc1") * c("yc2") - c("xc2") * c("yc1"))
     rings = outline.groupBy(SITE, "ring").agg(F.abs(twice).alias("a2"), F.min("x1").alias("x0"), F.min("y1").alias("y0"), F.max("x1").alias("xm"), F.max("y1").alias("ym"))
     site = rings.groupBy(SITE).agg((F.sum(F.when(c("ring") == 0, c("a2")).otherwise(-c("a2"))) / F.lit(20000.0)).alias("area_m2"),
                                    F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("xm").alias("xm"), F.max("ym").alias("ym"))
-    return site.withColumn("step", F.greatest(F.lit(least), F.sqrt(c("area_m2") / float(samples))))
+    return site.withColumn("step", F.lit(float(step)))
 
 
-def site_grid(outline: DataFrame, samples: int = MAX_SAMPLES, least: float = MIN_STEP_M) -> DataFrame:
-    """Cell centres inside each site: (site, ix, iy, cell_id, x, y, step)."""
+def site_grid(outline: DataFrame, step: float = STEP_M) -> DataFrame:
+    """Cell centres inside each site: (site, ix, iy, cell_id, x, y, step).
+
+    Raster columns are dealt out before their cells are made, so a large site is the work of many tasks.
+    """
     c = F.col
-    frame = site_frame(outline, samples, least)
+    frame = site_frame(outline, step)
     columns = F.ceil((c("xm") - (c("x0") + c("step") / 2.0)) / c("step"))
     lines = F.ceil((c("ym") - (c("y0") + c("step") / 2.0)) / c("step"))
-    cells = (frame.withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), columns - 1)))
+    cells = (frame.withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), columns - 1))).repartition(SITE, "ix")
              .withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), lines - 1)))
              .withColumn("x", c("x0") + c("step") / 2.0 + c("ix") * c("step")).withColumn("y", c("y0") + c("step") / 2.0 + c("iy") * c("step"))
              .withColumn("cell_id", c("ix") * 1000000 + c("iy")))
@@ -119,8 +122,8 @@ def runs_of(cells: DataFrame) -> DataFrame:
     return rows.groupBy(SITE, "iy", "key").agg(F.min("ix").alias("a"), F.max("ix").alias("b"), F.min("cell_id").alias("run_id"), F.count(F.lit(1)).alias("cells")).drop("key")
 
 
-def patches(cells: DataFrame) -> DataFrame:
-    """Connected parts of a cell set (four neighbours): components of runs that touch the run above."""
+def labelled_runs(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs with the patch they belong to (``label``), and the links between runs of neighbouring lines."""
     from sitefit.operators.iterate import components
 
     c = F.col
@@ -128,7 +131,21 @@ def patches(cells: DataFrame) -> DataFrame:
     above = runs.select(SITE, (c("iy") - 1).alias("iy"), c("a").alias("a2"), c("b").alias("b2"), c("run_id").alias("other"))
     links = runs.join(above, [SITE, "iy"]).filter((c("a") <= c("b2")) & (c("a2") <= c("b"))).select(SITE, c("run_id").alias("u"), c("other").alias("v"))
     labels = components(runs.select(SITE, c("run_id").alias("node")), links)
-    parts = runs.join(labels.withColumnRenamed("node", "run_id"), [SITE, "run_id"])
+    return runs.join(labels.withColumnRenamed("node", "run_id"), [SITE, "run_id"]), links
+
+
+def patch_of(cells: DataFrame) -> DataFrame:
+    """(site, cell_id, patch_id): the connected part of the cell set that each cell belongs to."""
+    parts, _ = labelled_runs(cells)
+    span = parts.select(SITE, "iy", F.explode(F.sequence("a", "b")).alias("ix"), F.col("label").alias("patch_id"))
+    return cells.select(SITE, "cell_id", "ix", "iy").join(span, [SITE, "ix", "iy"]).select(SITE, "cell_id", "patch_id")
+
+
+def patches(cells: DataFrame) -> DataFrame:
+    """Connected parts of a cell set (four neighbours): components of runs that touch the run above."""
+    c = F.col
+    parts, links = labelled_runs(cells)
+    runs = parts.select(SITE, "iy", "a", "b", "run_id", "cells")
     step = cells.select(SITE, "step").distinct()
     sides = links.join(runs.select(SITE, c("run_id").alias("u"), c("a").alias("ua"), c("b").alias("ub")), [SITE, "u"]).join(
         runs.select(SITE, c("run_id").alias("v"), c("a").alias("va"), c("b").alias("vb")), [SITE, "v"]).groupBy(SITE, c("u").alias("run_id")).agg(
@@ -168,20 +185,40 @@ def scan_fill(edges: DataFrame, size: float) -> DataFrame:
     return rows.withColumn("lo", lo).withColumn("hi", hi).filter(c("hi") >= c("lo")).groupBy(SITE, "gid").agg(F.sum(c("hi") - c("lo") + 1).alias("cells"))
 
 
-def roomiest(cells: DataFrame, room: DataFrame, keys: DataFrame, disc_m: float, rounds: int = 12) -> DataFrame:
-    """Spots with most room, one per patch and round; each removes a disc around itself before the next round."""
-    from sitefit.session import cut
+def roomiest(cells: DataFrame, room: DataFrame, keys: DataFrame, disc_m: float, least: float = 0.0) -> DataFrame:
+    """Spots with most room in each patch, one after another, each taking a disc around itself, until no cell with ``least`` room is left.
 
-    c = F.col
-    left = cut(cells.select(SITE, "cell_id", "x", "y").join(room, [SITE, "cell_id"]).join(keys, [SITE, "cell_id"]))
+    The same spots as picking them one by one (most room first, then the lower cell): in a round every cell is taken that no
+    better one lies near, at all places at once. Two cells of one square of side disc / sqrt(2) always exclude each other, so only
+    the best of each square has to be compared, with the cells of the squares around it. ``round`` numbers the spots of a patch.
+    """
+    from pyspark.sql import Window as W
+
+    from sitefit.session import discard, new_table, stored
+
+    c, side = F.col, disc_m / 2.0 ** 0.5
+    spark = cells.sparkSession
+    here = [SITE, "patch_id", "sx", "sy"]
+    rows = cells.select(SITE, "cell_id", "x", "y").join(room, [SITE, "cell_id"]).join(keys, [SITE, "cell_id"]).filter(c("clearance_m") >= least)
+    path = new_table(spark)
+    left = stored(rows.select(SITE, "patch_id", "cell_id", "x", "y", "clearance_m", F.floor(c("x") / side).alias("sx"), F.floor(c("y") / side).alias("sy")), path)
+    around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    near = (c("x") - c("bx")) * (c("x") - c("bx")) + (c("y") - c("by")) * (c("y") - c("by")) <= disc_m * disc_m
     out = None
-    for k in range(rounds):
-        best = left.groupBy(SITE, "patch_id").agg(F.max(F.struct("clearance_m", -c("cell_id"), "x", "y")).alias("b")).select(
-            SITE, "patch_id", (-c("b.col2")).alias("cell_id"), c("b.x").alias("bx"), c("b.y").alias("by"), c("b.clearance_m").alias("clearance_m"))
-        best = cut(best.withColumn("round", F.lit(k)))
-        if best.isEmpty():
-            break
-        out = best if out is None else out.unionByName(best)
-        dx, dy = c("x") - c("bx"), c("y") - c("by")
-        left = cut(left.join(best.select(SITE, "patch_id", "bx", "by"), [SITE, "patch_id"]).filter(dx * dx + dy * dy > disc_m * disc_m).drop("bx", "by"))
-    return out.select(SITE, "patch_id", "round", "cell_id", "clearance_m")
+    while not left.isEmpty():
+        best = left.groupBy(*here).agg(F.max(F.struct("clearance_m", (-c("cell_id")).alias("n"), "x", "y")).alias("b"))
+        best = best.select(*here, (-c("b.n")).alias("best_id"), c("b.x").alias("bx"), c("b.y").alias("by"), c("b.clearance_m").alias("best_m"))
+        spread = best.withColumn("_i", around).withColumn("_j", around).withColumn("sx", c("sx") + c("_i")).withColumn("sy", c("sy") + c("_j")).drop("_i", "_j")
+        better = (c("clearance_m") > c("best_m")) | ((c("clearance_m") == c("best_m")) & (c("cell_id") < c("best_id")))
+        beaten = spread.join(left, here).filter(near & better).select(SITE, "patch_id", "best_id").distinct()
+        won = stored(best.join(beaten, [SITE, "patch_id", "best_id"], "left_anti"))
+        out = won if out is None else out.unionByName(won)
+        discs = won.withColumn("_i", around).withColumn("_j", around).withColumn("sx", c("sx") + c("_i")).withColumn("sy", c("sy") + c("_j")).select(*here, "bx", "by")
+        taken = discs.join(left, here).filter(near).select(SITE, "patch_id", "cell_id").distinct()
+        old, path = path, new_table(spark)
+        left = stored(left.join(taken, [SITE, "patch_id", "cell_id"], "left_anti"), path)
+        discard(spark, old)
+    if out is None:
+        return left.select(SITE, "patch_id", F.lit(0).alias("round"), "cell_id", "clearance_m")
+    order = W.partitionBy(SITE, "patch_id").orderBy(c("best_m").desc(), "best_id")
+    return out.select(SITE, "patch_id", (F.row_number().over(order) - 1).alias("round"), c("best_id").alias("cell_id"), c("best_m").alias("clearance_m"))

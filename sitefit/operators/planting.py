@@ -85,10 +85,10 @@ def row_candidates(offsets: DataFrame, legal: DataFrame) -> DataFrame:
 
 
 def dart_counts(frame: DataFrame, pitch_m: float) -> DataFrame:
-    """Raw samples a site takes, and a report of sites that take very many. Nothing is refused: samples are generated in many tasks."""
+    """Raw samples a site takes; ``many`` marks sites that take very many. All are sampled, in blocks that many tasks share."""
     c = F.col
     n = F.ceil(c("area_m2") / (pitch_m * pitch_m) * OVERSAMPLE).cast("long")
-    return frame.select(SITE, n.alias("samples"), F.when(n > MAX_RAW_SAMPLES, "refused").otherwise("ok").alias("status"))
+    return frame.select(SITE, n.alias("samples"), F.when(n > MAX_RAW_SAMPLES, "many").otherwise("ok").alias("status"))
 
 
 def darts(frame: DataFrame, pitch_m: float, seed: str) -> DataFrame:

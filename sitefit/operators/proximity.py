@@ -12,21 +12,24 @@ from sitefit.functions.rules import with_resolution, with_setback
 from sitefit.operators.buckets import SITE, as_edges, inside, inside_site, measured, near_pairs, nearest
 from sitefit.operators.compliance import constraint_edges, distances, with_half
 
-MAX_FOOTPRINT_CELLS = 64
-
-
-def grid_buckets(edges: DataFrame, size: float) -> DataFrame:
-    """(feature, cell) rows of each bounding box; a footprint over the cap is kept apart without cells."""
+def footprint_cells(edges: DataFrame, size: float) -> DataFrame:
+    """(feature, cell) rows of each bounding box, whatever its size."""
     c = F.col
     box = edges.groupBy(SITE, "gid").agg(F.min(F.least("x1", "x2")).alias("ax"), F.max(F.greatest("x1", "x2")).alias("bx"),
                                          F.min(F.least("y1", "y2")).alias("ay"), F.max(F.greatest("y1", "y2")).alias("by"))
     for n in ("ax", "bx", "ay", "by"):
         box = box.withColumn(n, cell(c(n), size))
-    box = box.withColumn("is_large", (c("bx") - c("ax") + 1) * (c("by") - c("ay") + 1) > MAX_FOOTPRINT_CELLS)
-    xs = F.when(c("is_large"), F.array(F.lit(None).cast("long"))).otherwise(F.sequence("ax", "bx"))
-    ys = F.when(c("is_large"), F.array(F.lit(None).cast("long"))).otherwise(F.sequence("ay", "by"))
-    return box.select(SITE, "gid", "is_large", F.explode(xs).alias("cx"), "ay", "by", ys.alias("ys")).select(
-        SITE, "gid", "is_large", "cx", F.explode("ys").alias("cy"))
+    return box.select(SITE, "gid", F.explode(F.sequence("ax", "bx")).alias("cx"), "ay", "by").select(SITE, "gid", "cx", F.explode(F.sequence("ay", "by")).alias("cy"))
+
+
+def cell_neighbours(edges: DataFrame, size: float) -> DataFrame:
+    """Per feature: cells of its footprint and features of other types that share one, by an equi-join on (site, cell)."""
+    c = F.col
+    cells = footprint_cells(edges, size).join(edges.select(SITE, "gid", "object_type").distinct(), [SITE, "gid"])
+    other = cells.select(SITE, "cx", "cy", c("gid").alias("other"), c("object_type").alias("other_type"))
+    pairs = cells.join(other, [SITE, "cx", "cy"]).filter(c("object_type") != c("other_type")).select(SITE, "gid", "other").distinct()
+    met = pairs.groupBy(SITE, "gid").agg(F.count(F.lit(1)).alias("neighbours"))
+    return cells.groupBy(SITE, "gid").agg(F.count(F.lit(1)).alias("cells")).join(met, [SITE, "gid"], "left").fillna(0, ["neighbours"])
 
 
 def within_distance(points: DataFrame, edges: DataFrame, reach, size: float) -> DataFrame:
