@@ -54,8 +54,8 @@ cte("tree_budget", """SELECT t.site_id, t.area_m2, t.area_m2 * (t.cells - coales
 
 
 def _blocked(t, kind="tree"):
-    cells = ar.site_grid(t.outline)
-    return cells, ar.blocker_cells(cells, t.edges, t.outline, kind)
+    cells = stored(ar.site_grid(t.outline))
+    return cells, stored(ar.blocker_cells(cells, t.edges, t.outline, kind))
 
 
 @query("site_grid", sql("SELECT site_id, ix, iy, x, y FROM cells"))
