@@ -9,6 +9,7 @@ from sitefit.catalog.q_scalars import KEY
 from sitefit.catalog.registry import query
 from sitefit.catalog.sqlkit import cte, lit, re2, sql, values, wide
 from sitefit.functions import text as tx
+from sitefit.functions.intents import INTENT_RULES
 from sitefit.operators import messages as ms
 
 W = r"[^\p{L}\p{N}_]"
@@ -67,7 +68,7 @@ def split_clauses(t):
     return tx.clauses(t.utterances, ["conv_id", "turn"])
 
 
-INTENT = "CASE " + " ".join(f"WHEN {hit('clause', p)} THEN {lit(v)}" for p, v in fx.INTENT_RULES) + " END"
+INTENT = "CASE " + " ".join(f"WHEN {hit('clause', p)} THEN {lit(v)}" for p, v in INTENT_RULES) + " END"
 cte("intent_rows", f"SELECT conv_id, turn, no, clause, asked, {INTENT} AS intent FROM clause_rows")
 
 

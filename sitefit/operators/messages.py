@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sitefit import fixed as fx
 from sitefit.functions import dims
 from sitefit.functions import text as tx
+from sitefit.functions.intents import INTENT_RULES
 
 
 def intents(clauses: DataFrame) -> DataFrame:
-    return clauses.withColumn("intent", tx.first_rule(F.col("clause"), fx.INTENT_RULES))
+    return clauses.withColumn("intent", tx.first_rule(F.col("clause"), INTENT_RULES))
 
 
 def match_names(names: DataFrame) -> DataFrame:
