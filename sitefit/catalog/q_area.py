@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from sitefit import fixed as fx
 from sitefit.catalog import q_scalars  # noqa: F401
+from sitefit.catalog.q_compliance import rejection_sql
 from sitefit.catalog.q_rules import resolve_sql
+from sitefit.catalog.q_spatial import nearest_sql
 from sitefit.catalog.registry import query
 from sitefit.catalog.sqlkit import cross, cte, lit, seg, sql
 from sitefit.operators import area as ar
+from sitefit.operators import compliance as co
 from sitefit.session import stored
 
 cte("site_frames", """SELECT a.site_id, a.area_m2, b.x0, b.y0, b.xm, b.ym, 2e0 AS step FROM site_area a
@@ -120,6 +123,22 @@ def roomiest_spots(t):
     return ar.roomiest(free, room, ar.patch_of(free), 15.0, 2.5)
 
 
+cte("spot_cells", """SELECT site_id, ix, unnest(range(CAST(ceil((ym - (y0 + 5e0)) / 10e0) AS BIGINT))) AS iy, x0, y0 FROM (
+    SELECT *, unnest(range(CAST(ceil((xm - (x0 + 5e0)) / 10e0) AS BIGINT))) AS ix FROM site_frames) q""")
+cte("spot_probes", f"""SELECT site_id, ix * 1000000 + iy AS cell_id, any_value(x) AS x, any_value(y) AS y, 'tree' AS planting_type, '' AS species FROM (
+    SELECT site_id, ix, iy, x0 + 5e0 + ix * 10e0 AS x, y0 + 5e0 + iy * 10e0 AS y FROM spot_cells) c JOIN outline e USING (site_id)
+  GROUP BY site_id, ix, iy HAVING count(*) FILTER ({cross('c.x', 'c.y')}) % 2 = 1""")
+cte("spot_distances", nearest_sql("spot_probes", "cell_id", False))
+cte("spot_reasons", rejection_sql("spot_probes", "cell_id", "spot_distances"))
+
+
+@query("spot_reasons_by_site", sql("SELECT site_id, kind, object_type, count(DISTINCT cell_id) AS spots, max(required_m - actual_m) AS worst_gap_m FROM spot_reasons GROUP BY ALL"))
+def spot_reasons_by_site(t):
+    """What forbids trees at each site, on a grid of 10 m: every reason, how many spots it closes, the worst gap."""
+    spots = stored(ar.site_grid(t.outline, 10.0).select("site_id", "cell_id", "x", "y", F.lit("tree").alias("planting_type"), F.lit("").alias("species")))
+    return co.spot_reasons(spots, t.edges, t.outline)
+
+
 @query("legend_raster", sql("""SELECT site_id, grp, count(DISTINCT (px, py))::BIGINT AS pixels FROM (
     SELECT site_id, grp, CAST(floor((x1 + (x2 - x1) * (i / n)) / 2e0) AS BIGINT) AS px, CAST(floor((y1 + (y2 - y1) * (i / n)) / 2e0) AS BIGINT) AS py FROM (
       SELECT *, unnest(range(n + 1)) AS i FROM (SELECT e.*, l.grp, greatest(CAST(ceil(greatest(abs(x2 - x1), abs(y2 - y1)) / 2e0) AS BIGINT), 1) AS n

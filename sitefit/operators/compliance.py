@@ -214,6 +214,13 @@ def rejections(probes: DataFrame, edges: DataFrame, outline: DataFrame, point_id
     return setback.unionByName(trunk).unionByName(area).unionByName(outside).unionByName(margin)
 
 
+def spot_reasons(spots: DataFrame, edges: DataFrame, outline: DataFrame, point_id: str = "cell_id") -> DataFrame:
+    """What forbids planting at a site: every reason with the spots (site, point, x, y, planting_type, species) it closes and the worst gap."""
+    c = F.col
+    rows = rejections(spots, edges, outline, point_id)
+    return rows.groupBy(SITE, "kind", "object_type").agg(F.count_distinct(point_id).alias("spots"), F.max(c("required_m") - c("actual_m")).alias("worst_gap_m"))
+
+
 def violation_mask(items: DataFrame, checks: DataFrame) -> DataFrame:
     """Items that stand inside the setback zone (neighbour intervals are not part of it)."""
     c = F.col
