@@ -45,8 +45,9 @@ class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, as the tokenizer file gives them.
 
     The file's merges are read as ranks for tiktoken, which gives the same ids several times as fast. Texts with characters
-    whose class may differ between the two pattern libraries (beyond Latin script and common punctuation), and files
-    whose merges aren't in the order of their ids, go through `tokenizers`.
+    whose class may differ between the two pattern libraries (beyond Latin script and common punctuation), texts with long runs of
+    blanks (which tiktoken's pattern walks back over on a bounded stack), and files whose merges aren't in the order of their ids,
+    go through `tokenizers`.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,7 +63,7 @@ class Encoder:
         merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
         self.ordered = all(model["vocab"][token] == 256 + k for k, token in enumerate(merged))
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={t: k for t, k in ranks.items() if k < 256 + len(merged)}, special_tokens={})
-        self.odd = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u017f\u2013-\u2026]").search
+        self.odd = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u017f\u2013-\u2026]|[\t\n\r ]{1000}").search
 
     def whole(self, text: str) -> bytes:
         if self.slow is None:
