@@ -48,11 +48,13 @@ REPORTING = frozenset("said says wrote called calls quoted quote quoting reporte
 
 _SPLIT = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _TOKEN = re.compile(r"[0-9a-z\u0080-\U0010ffff]+|[\"\n]")
+#: Punctuation and blanks beyond ASCII, which end a word as those of ASCII do.
+_MARKS = re.compile("[\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u3003]")
 _OPEN = {"“": 1, "«": 1, "„": 1, "”": -1, "»": -1}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").decode().lower().encode().translate(_SPLIT).split()
+    return _MARKS.sub(" ", (text or b"").decode().lower().replace("\u0080", " ").replace("\u0081", " ")).encode().translate(_SPLIT).split()
 
 
 class Matcher:
@@ -171,11 +173,11 @@ def _densest(places: list[tuple[int, float]]) -> float:
 
 
 def _quotes(text: bytes) -> str:
-    """Lower-cased text with typographic quotation marks as two private tokens of their own."""
+    """Lower-cased text with typographic quotation marks as two private tokens of their own; other marks beyond ASCII become blanks."""
     lower = text.decode().lower().replace("\u0080", " ").replace("\u0081", " ")
     for sign, way in _OPEN.items():
         lower = lower.replace(sign, " \u0080 " if way > 0 else " \u0081 ")
-    return lower
+    return _MARKS.sub(" ", lower)
 
 
 def marks_of(labels: DataFrame, divisor: int, held: int) -> DataFrame:
