@@ -107,7 +107,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, divisor: in
 def fit(docs: DataFrame, labels: DataFrame, divisor: int, held: int, references: int = REFERENCES) -> Space | None:
     """The space of a bounded sample of labelled documents; None without any."""
     sample = labelled_sample(docs, labels, "quality", divisor, held, references)
-    found = vectors(sample.select("doc_id", "text")).join(sample.select("doc_id", "label").distinct(), "doc_id").orderBy("doc_id").toArrow()
+    # repeated rows of an id are one reference, and an id of many texts can't pass the bound
+    found = vectors(sample.select("doc_id", "text")).withColumn("copy", F.xxhash64("doc_id", "vector")).dropDuplicates(["copy"])
+    found = found.join(sample.select("doc_id", "label").distinct(), "doc_id").orderBy("copy").limit(2 * references).orderBy("doc_id", "copy").toArrow()
     if not found.num_rows:
         return None
     rows = np.stack([np.asarray(x, np.float32) for x in found.column("vector").to_numpy()])
