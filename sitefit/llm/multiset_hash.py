@@ -34,6 +34,8 @@ from sitefit.llm.base import once
 WIDE, LEVELS, LANES, ROOMY = 8, 16, 32, 24
 #: Rows that one range of ids should hold.
 RANGE_ROWS = 512
+#: Quantiles of the ids that ranges begin at, at most.
+QUANTILES = 1024
 #: Where a word ends; a run ends after one word in RUN_WORDS, or at a line's end.
 WORD_END = r"(?<=[^\p{L}\p{M}\p{N}]|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
 RUN_WORDS = 6
@@ -139,16 +141,32 @@ def likeness(wide: Column, sparse: Column, other_wide: Column, other_sparse: Col
     return F.when((wide == other_wide) & (sparse == other_sparse), F.lit(1.0)).otherwise(found)
 
 
+def range_of(doc_id: Column, points: list[int], pieces: int) -> Column:
+    """The range of an id, ascending with it: the interval between two of the ascending points, cut into `pieces` even parts; -1 for null."""
+    jump = max(1, int(len(points) ** 0.5))
+    coarse, exact = F.array(*[F.lit(p) for p in points[::jump]]), F.array(*[F.lit(p) for p in points])
+    block = F.greatest(F.size(F.filter(coarse, lambda p: p <= doc_id)) - 1, F.lit(0)) * jump
+    at = F.greatest(block + F.size(F.filter(F.slice(exact, block + 1, F.lit(jump)), lambda p: p <= doc_id)) - 1, F.lit(0))
+    # the distance between two 64-bit ids may take 65 bits; what lies outside the points goes to the first or last part
+    widths = [max(1, -(-(after - p) // pieces)) for p, after in zip(points, [*points[1:], points[-1] + pieces], strict=True)]
+    width = F.get(F.array(*[F.lit(w).cast("decimal(20,0)") if w < 1 << 63 else F.lit(str(w)).cast("decimal(20,0)") for w in widths]), at)
+    part = F.floor((doc_id.cast("decimal(20,0)") - F.get(exact, at).cast("decimal(20,0)")) / width)
+    part = F.least(F.greatest(part.cast("long"), F.lit(0)), F.lit(pieces - 1))
+    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(at.cast("long") * pieces + part).cast("long")
+
+
 def with_next(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     """Adds next_<column> of the row that follows by descending doc_id (the first row follows the last). `ids`: the rows' doc_id alone.
 
-    Ids are cut into ranges of about RANGE_ROWS rows by the table's extent; rows follow each other within a range, and the last
-    of a range is followed by the first of the next range that has rows. The columns hold no nulls.
+    Ids are cut into ranges of about RANGE_ROWS rows: by at most QUANTILES approximate quantiles, and evenly between two of them, so that
+    outlying ids stand apart from the rest; rows follow each other within a range, and the last of a range is followed by the first of the
+    next range that has rows. The columns hold no nulls.
     """
     c = F.col
-    low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, ((high - low + 1) * RANGE_ROWS) // max(n, 1)) if n and low is not None else 1
-    place = F.coalesce(F.floor((c("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
+    n = ids.count()
+    parts = max(1, min(QUANTILES, n // RANGE_ROWS))
+    points = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(parts)], 10 * QUANTILES)).first()[0] if n else None
+    place = range_of(c("doc_id"), sorted(set(points or [0])), max(1, n // (parts * RANGE_ROWS)))
     order = Window.partitionBy("range_").orderBy(F.desc_nulls_last("doc_id"), "text")
     # plain columns, so that both uses read one exchange which holds each text once
     linked = rows.withColumn("range_", place).withColumns({f"next_{name}": F.lead(name).over(order) for name in columns} | {"follows_": F.lag(F.lit(True)).over(order)})
