@@ -144,9 +144,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: tupl
                 flat = b" " + b" ".join(words) + b" "
                 places, base, matches = [], set(), []
                 for phrase, label in wanted:
-                    at = flat.find(phrase)
+                    at, counted, before = flat.find(phrase), 0, 0
                     while at >= 0:
-                        places.append(flat.count(b" ", 0, at))
+                        before, counted = before + flat.count(b" ", counted, at), at
+                        places.append(before)
                         base.add(label)
                         at = flat.find(phrase, at + 1)
                 if any(word in flat for word in sure):
