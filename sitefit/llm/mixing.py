@@ -34,6 +34,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitefit.llm.base import once
 from sitefit.session import cut
 
 #: Labelled rows that the classifier is fitted on, domains, hashed features: at most.
@@ -85,9 +86,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         return rows.select("doc_id", "tokens", even.alias("posterior")), domains
     model = LogisticRegression(maxIter=30, regParam=1e-3, family="multinomial").fit(fitted)
     model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("chance_")
-    found = model.transform(_vectors(rows, "words_", "features"))
+    # the model's numbers are worked out once a row: a lambda would do it again for every domain
+    found = once(model.transform(_vectors(rows, "words_", "features")).select("doc_id", "tokens", "chance_"), numbers_=vector_to_array("chance_"))
     # a domain that the sample missed has no number of its own in the model
-    chance = vector_to_array("chance_")
+    chance = c("numbers_")
     return found.select("doc_id", "tokens", F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda k: F.coalesce(F.get(chance, k), F.lit(0.0))).alias("posterior")), domains
 
 
