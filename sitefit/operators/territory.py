@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitefit.operators.buckets import SITE
 from sitefit.operators.iterate import components
 
 DUPLICATE, MAX_DISTANCE_RATIO, CONTEXT_M, MIN_CONTEXT = 0.99, 2.0, 100.0, 5
+#: Cells of a line that lie in one block.
+BLOCK_CELLS = 64
 
 
 def source(contours: DataFrame, allow_order: bool = False) -> DataFrame:
@@ -22,18 +25,32 @@ def source(contours: DataFrame, allow_order: bool = False) -> DataFrame:
 
 
 def contour_cells(contours: DataFrame) -> DataFrame:
-    """Metre cells of box contours."""
-    xs, ys = F.sequence("x0", F.col("xm") - 1), F.sequence("y0", F.col("ym") - 1)
-    return contours.select(SITE, "piece", F.explode(xs).alias("ix"), "y0", "ym").withColumn("iy", F.explode(ys)).drop("y0", "ym")
+    """Metre cells of box contours, as runs (site, piece, block, iy, a, b): the cells a to b of line iy within a block of BLOCK_CELLS."""
+    c = F.col
+    first, last = (F.floor(x / BLOCK_CELLS).cast("long") for x in (c("x0"), c("xm") - 1))
+    rows = contours.filter("xm > x0 and ym > y0").withColumn("block", F.explode(F.sequence(first, last)))
+    rows = rows.withColumn("a", F.greatest("x0", c("block") * BLOCK_CELLS)).withColumn("b", F.least(c("xm") - 1, (c("block") + 1) * BLOCK_CELLS - 1))
+    return rows.select(SITE, "piece", "block", F.explode(F.sequence("y0", c("ym") - 1)).alias("iy"), "a", "b")
+
+
+def run_cells() -> Column:
+    return F.sum(F.col("b") - F.col("a") + 1)
+
+
+def common_cells(runs: DataFrame, other: DataFrame) -> DataFrame:
+    """Runs that meet one of another table (o_a, o_b and more columns), with the number of cells in both."""
+    c = F.col
+    met = runs.join(other, [SITE, "block", "iy"]).filter((c("a") <= c("o_b")) & (c("o_a") <= c("b")))
+    return met.withColumn("common", F.least("b", "o_b") - F.greatest("a", "o_a") + 1)
 
 
 def near_duplicates(cells: DataFrame) -> DataFrame:
     """Pieces that cover each other almost completely, as the least piece id of their group."""
     c = F.col
-    size = cells.groupBy(SITE, "piece").agg(F.count(F.lit(1)).alias("n"))
-    # cell by cell the pieces that cover it are few; pairs are counted per cell, never per site
-    other = cells.select(SITE, "ix", "iy", c("piece").alias("other"))
-    both = cells.join(other, [SITE, "ix", "iy"]).filter(c("piece") < c("other")).groupBy(SITE, "piece", "other").agg(F.count(F.lit(1)).alias("common"))
+    size = cells.groupBy(SITE, "piece").agg(run_cells().alias("n"))
+    # run by run the pieces that cover it are few; pairs are counted per run, never per site
+    other = cells.select(SITE, "block", "iy", c("piece").alias("other"), c("a").alias("o_a"), c("b").alias("o_b"))
+    both = common_cells(cells, other).filter(c("piece") < c("other")).groupBy(SITE, "piece", "other").agg(F.sum("common").alias("common"))
     rows = both.join(size, [SITE, "piece"]).join(size.select(SITE, c("piece").alias("other"), c("n").alias("m")), [SITE, "other"])
     same = rows.filter((c("common") / c("n") > DUPLICATE) & (c("common") / c("m") > DUPLICATE)).select(SITE, c("piece").alias("u"), c("other").alias("v"))
     return components(size.select(SITE, c("piece").alias("node")), same).select(SITE, c("node").alias("piece"), c("label").alias("group_piece"))
@@ -66,13 +83,18 @@ def combine(cells: DataFrame) -> DataFrame:
     the fold that covers a cell decides whether the cell belongs to the result.
     """
     c = F.col
-    size = cells.groupBy(SITE, "piece").agg(F.count(F.lit(1)).alias("n"))
+    line = [SITE, "block", "iy"]
+    size = cells.groupBy(SITE, "piece").agg(run_cells().alias("n"))
     ranked = cells.join(size, [SITE, "piece"]).withColumn("turn", F.struct(-c("n"), c("piece")))
-    other = ranked.select(SITE, "ix", "iy", c("piece").alias("other"), c("turn").alias("other_turn"))
-    inside = ranked.join(other, [SITE, "ix", "iy"]).filter(c("other_turn") < c("turn")).groupBy(SITE, "piece", "n", "other").agg(F.count(F.lit(1)).alias("common"))
+    other = ranked.select(*line, c("piece").alias("other"), c("turn").alias("other_turn"), c("a").alias("o_a"), c("b").alias("o_b"))
+    inside = common_cells(ranked, other).filter(c("other_turn") < c("turn")).groupBy(SITE, "piece", "n", "other").agg(F.sum("common").alias("common"))
     depth = inside.filter(c("common") * 100 > c("n") * 99).groupBy(SITE, "piece").agg(F.count(F.lit(1)).alias("depth"))
-    cover = ranked.join(depth, [SITE, "piece"], "left").groupBy(SITE, "ix", "iy").agg(F.max(F.struct("turn", (F.coalesce("depth", F.lit(0)) % 2).alias("odd"))).alias("last"))
-    return cover.filter(c("last.odd") == 0).groupBy(SITE).agg(F.count(F.lit(1)).alias("area_m2"))
+    # between two neighbouring ends of runs the same pieces cover all cells of a line
+    ends = cells.select(*line, F.explode(F.array(c("a"), c("b") + 1)).alias("o_a")).distinct()
+    parts = ends.withColumn("o_b", F.lead("o_a").over(W.partitionBy(*line).orderBy("o_a")) - 1).filter("o_b is not null")
+    last = F.max(F.struct("turn", (F.coalesce("depth", F.lit(0)) % 2).alias("odd"))).alias("last")
+    cover = common_cells(ranked.join(depth, [SITE, "piece"], "left"), parts).groupBy(*line, "o_a", "common").agg(last)
+    return cover.filter(c("last.odd") == 0).groupBy(SITE).agg(F.sum("common").alias("area_m2"))
 
 
 def territory_or_error(sites: DataFrame, chosen: DataFrame, area: DataFrame) -> DataFrame:
