@@ -15,3 +15,30 @@ def test_features_write_out_points_not_edges(tables, monkeypatch):
     px.distance_matrix(tables.reference_trees, edges, "ref_id")
     px.counts_within(tables.reference_trees, edges, "ref_id")
     assert reaches == [0.0, 0.0]
+
+
+def test_selection_equals_sequential_pass(spark):
+    from sitefit.operators import select
+
+    rng = random.Random(3)
+    points = [(0, "tree", k // 2, rng.randrange(6000) / 100.0, rng.randrange(6000) / 100.0, rng.randrange(50) / 10.0) for k in range(400)]
+    # no two rows of one id and score, so that the order is fixed
+    points = list({(p[2], p[5]): p for p in points}.values())
+    df = spark.createDataFrame(points, "site_id long, planting_type string, cand_id long, x double, y double, score double")
+    got = sorted(r.cand_id for r in select.greedy_select(df).collect())
+    kept = []
+    for p in sorted(points, key=lambda p: (-p[5], p[2])):
+        if all(((p[3] - q[3]) ** 2 + (p[4] - q[4]) ** 2) ** 0.5 >= 5.0 - select.SPACING_EPS_M for q in kept):
+            kept.append(p)
+    assert got == sorted(p[2] for p in kept)
+
+
+def test_selection_reads_its_candidates_once(spark):
+    from sitefit.operators.select import greedy_select
+
+    seen = spark.sparkContext.accumulator(0)
+    touch = F.udf(lambda v: seen.add(1) or v, "double")
+    rows = spark.range(50).select(F.lit(0).cast("long").alias("site_id"), F.lit("tree").alias("planting_type"), F.col("id").alias("cand_id"),
+                                  F.col("id").cast("double").alias("x"), touch(F.col("id").cast("double")).alias("y"), F.lit(0.5).alias("score"))
+    greedy_select(rows).collect()
+    assert seen.value == 50
