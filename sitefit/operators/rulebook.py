@@ -83,11 +83,16 @@ def species_classes(items: DataFrame) -> DataFrame:
 
 
 def species_palette(plans: DataFrame, size: int = 3) -> DataFrame:
-    named = dims.species(plans.sparkSession).select(F.col("name").alias("species"), F.col("species_type").alias("planting_type"))
-    rows = requested_types(plans).join(F.broadcast(named), "planting_type")
-    draw = F.md5(F.concat_ws(":", F.col("plan_id").cast("string"), "planting_type", "species"))
-    w = W.partitionBy("plan_id", "planting_type").orderBy(draw)
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= size).select("plan_id", "planting_type", "species", "rank")
+    """The species of a type are a fixed list, ordered by draw in the row of a plan and type; a plan that comes n times has each n times."""
+    c = F.col
+    named = dims.species(plans.sparkSession).select(c("name").alias("species"), c("species_type").alias("planting_type"))
+    named = named.groupBy("planting_type").agg(F.collect_list("species").alias("names"))
+    asked = requested_types(plans).groupBy("plan_id", "planting_type").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(named), "planting_type")
+    draw = lambda s: F.md5(F.concat_ws(":", c("plan_id").cast("string"), "planting_type", s))
+    drawn = F.array_sort(F.transform("names", lambda s: F.struct(draw(s).alias("draw"), s.alias("species"))))
+    first = F.slice(F.flatten(F.transform(drawn, lambda s: F.array_repeat(s["species"], F.least(c("n"), F.lit(size)).cast("int")))), 1, size)
+    rows = asked.select("plan_id", "planting_type", F.posexplode(first).alias("pos", "species"))
+    return rows.select("plan_id", "planting_type", "species", (c("pos") + 1).cast("long").alias("rank"))
 
 
 def recipe_norms(plans: DataFrame) -> DataFrame:
