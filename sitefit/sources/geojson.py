@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefit import fixed as fx
+from sitefit.operators.buckets import measured
 from sitefit.operators.measures import to_utm
 
 FEATURE = "type string, properties variant, geometry variant"
@@ -75,7 +76,8 @@ def typed(features: DataFrame, type_field: str, type_map: dict[str, str]) -> Dat
     c = F.col
     props = F.coalesce(F.try_variant_get(c("properties"), "$", "map<string,string>"), F.create_map().cast("map<string,string>"))
     rows = flattened(features).withColumn("_p", F.map_filter(props, lambda k, v: v.isNotNull() & (F.lower(v) != "nan")))
-    rows = rows.withColumn("parts", F.filter(parts_of(c("geometry")), lambda p: F.exists(p, lambda r: F.exists(r, lambda xy: F.size(xy) >= 2))))
+    # made once a row: a filter on a plain column would work the coordinates out a second time
+    rows = measured(rows, "parts", F.filter(parts_of(c("geometry")), lambda p: F.exists(p, lambda r: F.exists(r, lambda xy: F.size(xy) >= 2))))
     rows = rows.filter(F.size("parts") > 0)
     raw = F.coalesce(c("_p")[type_field], F.lit("unknown"))
     mapped = F.create_map(*[F.lit(v) for kv in type_map.items() for v in kv])[raw] if type_map else F.lit(None).cast("string")
@@ -84,6 +86,13 @@ def typed(features: DataFrame, type_field: str, type_map: dict[str, str]) -> Dat
     return rows.withColumn("kind", kind).withColumn("attrs", F.map_filter("_p", lambda k, v: k != type_field)).drop("_p", "properties", "geometry")
 
 
+def edge_count(parts: Column) -> Column:
+    """How many edges `edges_of` makes of the parts of a feature."""
+    of_ring = lambda r: F.when(F.size(r) > 0, F.greatest(F.size(r) - 1, F.lit(1))).otherwise(0).cast("long")
+    total = lambda sum_, n: sum_ + n
+    return F.aggregate(F.flatten(F.transform(parts, lambda p: F.transform(p, of_ring))), F.lit(0).cast("long"), total)
+
+
 def edges_of(features: DataFrame, *keys: str) -> DataFrame:
     """Two-point edges (keys, part, ring, seq, x1 .. y2) of typed features; a lone position is an edge of no length.
 

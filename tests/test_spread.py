@@ -42,3 +42,28 @@ def test_selection_reads_its_candidates_once(spark):
                                   F.col("id").cast("double").alias("x"), touch(F.col("id").cast("double")).alias("y"), F.lit(0.5).alias("score"))
     greedy_select(rows).collect()
     assert seen.value == 50
+
+
+def test_palette_of_a_repeated_plan_without_sorting_plans(spark):
+    from sitefit.operators.rulebook import species_palette
+
+    plans = spark.createDataFrame([(1, "tree,shrub"), (2, "tree"), (2, "tree")], "plan_id long, planting_types string")
+    got = species_palette(plans)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {}
+    for r in got.orderBy("plan_id", "planting_type", "rank").collect():
+        rows.setdefault((r.plan_id, r.planting_type), []).append(r.species)
+    assert set(rows) == {(1, "tree"), (1, "shrub"), (2, "tree")} and all(len(v) == 3 for v in rows.values())
+    once = [r.species for r in species_palette(plans.limit(2).filter("plan_id = 2")).orderBy("rank").collect()]
+    assert len(set(rows[1, "tree"])) == 3 and (not once or rows[2, "tree"] == [once[0], once[0], once[1]])
+
+
+def test_edge_counts_without_making_edges(spark):
+    from sitefit.sources import geojson as gj
+
+    texts = [(1, '{"type":"Feature","properties":{},"geometry":{"type":"Point","coordinates":[1,2]}}'),
+             (2, '{"type":"Feature","properties":{},"geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[4,0],[4,4],[0,0]],[[1,1],[2,1],[1,1]]],[[[9,9],[8,9],[9,9]]]]}}'),
+             (3, '{"type":"Feature","properties":{},"geometry":{"type":"MultiLineString","coordinates":[[],[[0,0],[1,1]]]}}')]
+    found = gj.typed(gj.from_texts(spark.createDataFrame(texts, "k long, feature string")), "what", {})
+    made = {r.k: r["count"] for r in gj.edges_of(found, "k").groupBy("k").count().collect()}
+    assert {r.k: r.n for r in found.select("k", gj.edge_count(found.parts).alias("n")).collect()} == made == {1: 1, 2: 7, 3: 1}
