@@ -69,3 +69,10 @@ def test_points_are_judged_like_joined_ones(spark, drawn):
         want = at.join(ar.blocker_cells(at, edges, outline, kind, "cand_id"), ["site_id", "cand_id"], "left_anti").join(inside_site(at, outline, "cand_id"), ["site_id", "cand_id"], "left_semi")
         got = sorted(map(tuple, gr.open_points(at, outline, edges, kind).collect()))
         assert got and got == sorted(map(tuple, want.select(at.columns).collect()))
+
+
+@pytest.mark.parametrize("name", ["scatter_candidates"])
+def test_points_are_shuffled_once_to_their_strips(spark, name):
+    plan = load()[0][name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert sum("strip" in line for line in dealt) == 2 and not any("cx" in line or "dart_id" in line for line in dealt)
