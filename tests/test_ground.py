@@ -67,7 +67,7 @@ def test_points_are_judged_like_joined_ones(spark, drawn):
     at = at.unionByName(odd).cache()
     for kind in ("tree", "shrub", "lawn"):
         want = at.join(ar.blocker_cells(at, edges, outline, kind, "cand_id"), ["site_id", "cand_id"], "left_anti").join(inside_site(at, outline, "cand_id"), ["site_id", "cand_id"], "left_semi")
-        got = sorted(map(tuple, gr.open_points(at, outline, edges, kind).collect()))
+        got = sorted(map(tuple, gr.open_points(at, gr.closing_lines(outline, edges, kind)).collect()))
         assert got and got == sorted(map(tuple, want.select(at.columns).collect()))
 
 
