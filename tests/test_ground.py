@@ -76,3 +76,31 @@ def test_points_are_shuffled_once_to_their_strips(spark, name):
     plan = load()[0][name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
     assert sum("strip" in line for line in dealt) == 2 and not any("cx" in line or "dart_id" in line for line in dealt)
+
+
+def test_roomiest_spots_know_more_room_than_is_written_out(drawn):
+    outline, edges = drawn
+    # wide free ground: rooms of more than 5 m tell spots apart
+    edges = edges.filter("gid in (1, 6, 9)")
+    free = ar.buildable(ar.site_grid(outline), ar.blocker_cells(ar.site_grid(outline), edges, outline, "tree")).cache()
+    lines = ar.required_reach(edges, "tree").collect()
+
+    def beyond(x, y):
+        def dist(e):
+            dx, dy = e.x2 - e.x1, e.y2 - e.y1
+            t = max(0.0, min(1.0, ((x - e.x1) * dx + (y - e.y1) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+            return ((x - e.x1 - t * dx) ** 2 + (y - e.y1 - t * dy) ** 2) ** 0.5
+        return min(dist(e) - e.required_m for e in lines)
+
+    left = {r.cell_id: (r.x, r.y, beyond(r.x, r.y)) for r in free.collect()}
+    patch = {r.cell_id: r.patch_id for r in ar.patch_of(free).collect()}
+    want = []
+    left = {k: v for k, v in left.items() if v[2] >= 2.5}
+    while left:
+        best = min(left, key=lambda k: (-left[k][2], k))
+        x, y, _ = left[best]
+        want.append((best, patch[best]))
+        left = {k: v for k, v in left.items() if patch[k] != patch[best] or (v[0] - x) ** 2 + (v[1] - y) ** 2 > 225.0}
+    got = gr.roomiest_spots(outline, edges, "tree", 15.0, 2.5).collect()
+    assert max(r.clearance_m for r in got) > 30
+    assert sorted((r.cell_id, r.patch_id) for r in got) == sorted(want)
