@@ -104,3 +104,17 @@ def test_roomiest_spots_know_more_room_than_is_written_out(drawn):
     got = gr.roomiest_spots(outline, edges, "tree", 15.0, 2.5).collect()
     assert max(r.clearance_m for r in got) > 30
     assert sorted((r.cell_id, r.patch_id) for r in got) == sorted(want)
+
+
+def test_exclusive_area_of_a_small_site_is_measured_on_finer_cells(drawn):
+    from types import SimpleNamespace
+
+    outline, edges = drawn
+    small = outline.withColumns({k: F.col(k) / 2 for k in ("x1", "y1", "x2", "y2")}).withColumns({k: (F.col(k) / 2).cast("long") for k in ("xc1", "yc1", "xc2", "yc2")})
+    frame = ar.site_frame(small).first()
+    step = max(0.5, (frame.area_m2 / 20000.0) ** 0.5)
+    assert step < 2.0
+    cells = ar.site_grid(small, step)
+    want = ar.area_budget(cells, ar.blocker_cells(cells, edges, small, "tree")).select("site_id", "blocker", "exclusive_m2")
+    got = q_area.exclusive_area(SimpleNamespace(outline=small, edges=edges))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
