@@ -64,10 +64,11 @@ def test_points_are_judged_like_joined_ones(spark, drawn):
     outline, edges = drawn
     at = spark.range(4000).select(F.lit(7).cast("long").alias("site_id"), F.col("id").alias("cand_id"), (F.col("id") * 37 % 101 - 5).cast("double").alias("x"), (F.col("id") * 53 % 211 - 5 + F.col("id") % 3 / 3).alias("y"))
     odd = spark.createDataFrame([(None, 9001, 20.0, 80.0), (7, 9002, None, 80.0), (8, 9003, 20.0, 80.0)], "site_id long, cand_id long, x double, y double")
-    at = at.unionByName(odd).cache()
+    twice = at.filter("cand_id % 7 = 0")
+    at = at.unionByName(odd).unionByName(twice).cache()
     for kind in ("tree", "shrub", "lawn"):
         want = at.join(ar.blocker_cells(at, edges, outline, kind, "cand_id"), ["site_id", "cand_id"], "left_anti").join(inside_site(at, outline, "cand_id"), ["site_id", "cand_id"], "left_semi")
-        got = sorted(map(tuple, gr.open_points(at, gr.closing_lines(outline, edges, kind)).collect()))
+        got = sorted(map(tuple, gr.open_points(at, gr.closing_lines(outline, edges, kind), "cand_id").collect()))
         assert got and got == sorted(map(tuple, want.select(at.columns).collect()))
 
 
